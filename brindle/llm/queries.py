@@ -11,5 +11,12 @@ def op5_rendezvous_sharding(spark, sf_dir):
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_rendezvous_sharding": op5_rendezvous_sharding}
+def op9_dominance_packing(spark, sf_dir):
+    import public_tokenizers
+    from brindle.llm.packing import pack
+
+    return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op5_rendezvous_sharding, op9_dominance_packing)}
 ORACLES: dict[str, str] = {}
