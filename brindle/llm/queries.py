@@ -5,6 +5,12 @@ from __future__ import annotations
 from brindle.llm.common import read
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    from brindle.llm.suffix import removed_bytes
+
+    return removed_bytes(spark, read(spark, sf_dir, "documents"))
+
+
 def op5_rendezvous_sharding(spark, sf_dir):
     from brindle.llm.sharding import shard_documents
 
@@ -18,5 +24,5 @@ def op9_dominance_packing(spark, sf_dir):
     return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_rendezvous_sharding, op9_dominance_packing)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_rendezvous_sharding, op9_dominance_packing)}
 ORACLES: dict[str, str] = {}

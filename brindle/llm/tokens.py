@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, with its results kept per white-space chunk.
 
 The word-BPE vocabulary drops white space and never merges across it, so the ids of a text are the ids of its
-chunks one after another. :class:`ChunkEncoder` asks the tokenizer once per distinct chunk and joins the answers.
+chunks one after another. :class:`ChunkEncoder` asks the tokenizer's model once per distinct chunk and joins the answers.
 Texts with characters for which that isn't proven (beyond Latin letters, combining marks, odd controls, or the
 vocabulary's special strings) are given to the tokenizer whole.
 """
@@ -9,24 +9,52 @@ vocabulary's special strings) are given to the tokenizer whole.
 from __future__ import annotations
 
 import re
+from array import array
+import unicodedata
 
 import numpy as np
 
 #: Printable ASCII, tab, newline, return, and Latin-1/Latin Extended letters except those whose lower case is longer.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ɏ]*\Z")
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*\Z")
 CACHE = 400_000
 
 
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The vocabulary's split of a text, for plain characters.
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write bytes as letters: printable ones as themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+LETTERS = _byte_letters()
+
+
 class ChunkEncoder:
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache, self.known = cache, {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _chunk(self, chunk: str) -> bytes:
+        ids = []
+        for piece in (chunk,) if chunk.isascii() and chunk.isalpha() else PIECES.findall(chunk):
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+            ids += [t.id for t in self.model.tokenize(mapped)]
+        return array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -37,7 +65,9 @@ class ChunkEncoder:
         known = self.known
         if len(known) > self.cache:
             known.clear()
-        new = list({c for own in chunks if own is not None for c in own if c not in known})
-        known.update(zip(new, self._ids(new)))
-        whole = iter(self._ids([t for t, own in zip(texts, chunks) if own is None]))
+        for own in chunks:
+            for c in own or ():
+                if c not in known:
+                    known[c] = self._chunk(c)
+        whole = iter(self._whole([t for t, own in zip(texts, chunks) if own is None]))
         return [next(whole) if own is None else b"".join(map(known.__getitem__, own)) for own in chunks]
