@@ -36,14 +36,14 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """id, piece, start, length, ids_crc32: the token pieces of each document, the end id included."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from brindle.llm.tokens import ChunkEncoder
+        from brindle.llm.tokens import encoder
 
-        encoder, end = ChunkEncoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = encoder(tokenizer).encode, np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.iloc[at : at + SLICE]
                 out = []
-                for key, ids in zip(part["id"], encoder.encode(part["text"].tolist())):
+                for key, ids in zip(part["id"], encode(part["text"].tolist())):
                     ids += end
                     for k, s in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[s : s + 4 * capacity]

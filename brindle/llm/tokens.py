@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public tokenizer, with its results kept per white-space chunk.
 
 The word-BPE vocabulary drops white space and never merges across it, so the ids of a text are the ids of its
-chunks one after another. :class:`ChunkEncoder` asks the tokenizer's model once per distinct chunk and joins the answers.
+chunks one after another. :class:`ChunkEncoder` asks the tokenizer once per distinct chunk and joins the answers.
 Texts with characters for which that isn't proven (beyond Latin letters, combining marks, odd controls, or the
 vocabulary's special strings) are given to the tokenizer whole.
 """
@@ -9,8 +9,8 @@ vocabulary's special strings) are given to the tokenizer whole.
 from __future__ import annotations
 
 import re
-from array import array
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 
@@ -27,14 +27,21 @@ def _class(kind: str) -> str:
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 
 
-def _byte_letters() -> dict[int, int]:
-    """Byte-level vocabularies write bytes as letters: printable ones as themselves, the others from U+0100 on."""
-    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    hidden = (b for b in range(256) if b not in shown)
-    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+class Both(dict):
+    """A small dict over a large one."""
 
+    def __init__(self, under: dict, over: dict):
+        super().__init__(over)
+        self.under = under
 
-LETTERS = _byte_letters()
+    def __missing__(self, key):
+        return self.under[key]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> ChunkEncoder:
+    """One encoder a worker process, so that its cache serves all tasks."""
+    return ChunkEncoder(path)
 
 
 class ChunkEncoder:
@@ -42,19 +49,24 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache, self.known = cache, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunk(self, chunk: str) -> bytes:
-        ids = []
-        for piece in (chunk,) if chunk.isascii() and chunk.isalpha() else PIECES.findall(chunk):
-            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
-            ids += [t.id for t in self.model.tokenize(mapped)]
-        return array("I", ids).tobytes()
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each plain chunk: all are encoded as one text, which the ids that end a piece cut up again."""
+        pieces = [1 if c.isascii() and c.isalpha() else len(PIECES.findall(c)) for c in chunks]
+        ids = self._whole([" ".join(chunks)])[0]
+        ends = np.concatenate([[0], np.flatnonzero(self.closes[np.frombuffer(ids, "<u4")]) + 1]) * 4
+        if len(ends) - 1 != sum(pieces) or ends[-1] != len(ids):
+            return self._whole(chunks)
+        at = ends[np.concatenate([[0], np.cumsum(pieces, dtype=np.int64)])].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -63,11 +75,12 @@ class ChunkEncoder:
             plain = PLAIN.match(text) and not any(s in text for s in self.special)
             chunks.append(text.lower().split() if plain else None)
         known = self.known
-        if len(known) > self.cache:
-            known.clear()
-        for own in chunks:
-            for c in own or ():
-                if c not in known:
-                    known[c] = self._chunk(c)
+        new = list({c for own in chunks if own is not None for c in own if c not in known})
+        fresh = dict(zip(new, self._chunks(new)))
+        if len(known) < self.cache:  # common words come early, and a full cache stays as it is
+            known.update(fresh)
+            fresh = known
+        else:
+            fresh = Both(known, fresh)
         whole = iter(self._whole([t for t, own in zip(texts, chunks) if own is None]))
-        return [next(whole) if own is None else b"".join(map(known.__getitem__, own)) for own in chunks]
+        return [next(whole) if own is None else b"".join(map(fresh.__getitem__, own)) for own in chunks]
