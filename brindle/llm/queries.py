@@ -11,6 +11,12 @@ def op2_suffix_dedup(spark, sf_dir):
     return removed_bytes(spark, read(spark, sf_dir, "documents"))
 
 
+def op4_warc_chunk_table(spark, sf_dir):
+    from brindle.llm.warc import archive_round_trip
+
+    return archive_round_trip(spark, read(spark, sf_dir, "pages"))
+
+
 def op5_rendezvous_sharding(spark, sf_dir):
     from brindle.llm.sharding import shard_documents
 
@@ -24,5 +30,15 @@ def op9_dominance_packing(spark, sf_dir):
     return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op5_rendezvous_sharding, op9_dominance_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_warc_chunk_table, op5_rendezvous_sharding, op9_dominance_packing)}
+ORACLES: dict[str, str] = {
+    "op4_warc_chunk_table": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (SELECT d, min(page_id) AS first_id FROM p GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (d)
+""",
+}
