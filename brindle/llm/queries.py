@@ -11,6 +11,13 @@ def op2_suffix_dedup(spark, sf_dir):
     return removed_bytes(spark, read(spark, sf_dir, "documents"))
 
 
+def op3_crf_line_quality(spark, sf_dir):
+    from brindle.llm.lines import label_quality, train
+
+    docs = read(spark, sf_dir, "documents")
+    return label_quality(docs, train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_warc_chunk_table(spark, sf_dir):
     from brindle.llm.warc import archive_round_trip
 
@@ -30,7 +37,7 @@ def op9_dominance_packing(spark, sf_dir):
     return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_warc_chunk_table, op5_rendezvous_sharding, op9_dominance_packing)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op9_dominance_packing)}
 ORACLES: dict[str, str] = {
     "op4_warc_chunk_table": """
 WITH p AS (
