@@ -55,3 +55,17 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
         x = np.minimum(x[:-step], x[step:])
         done += step
     return x
+
+
+def word_bounds(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the maximal runs of word bytes; ``is_word`` is a table over byte values."""
+    inside = np.concatenate([[False], is_word[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
+#: Bytes of words parted by ASCII white space.
+SPACED = np.ones(256, bool)
+SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Bytes of letters, digits and all characters beyond ASCII.
+LETTERED = np.array([c >= 0x80 or chr(c).isalnum() for c in range(256)])

@@ -30,6 +30,12 @@ def op5_rendezvous_sharding(spark, sf_dir):
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_spaced_seed_decontamination(spark, sf_dir):
+    from brindle.llm.decontaminate import contamination
+
+    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_dominance_packing(spark, sf_dir):
     import public_tokenizers
     from brindle.llm.packing import pack
@@ -37,7 +43,7 @@ def op9_dominance_packing(spark, sf_dir):
     return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op9_dominance_packing)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op8_spaced_seed_decontamination, op9_dominance_packing)}
 ORACLES: dict[str, str] = {
     "op4_warc_chunk_table": """
 WITH p AS (
