@@ -16,7 +16,7 @@ import numpy as np
 
 #: Printable ASCII, tab, newline, return, and Latin-1/Latin Extended letters except those whose lower case is longer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*\Z")
-CACHE = 400_000
+CACHE = 600_000
 
 
 def _class(kind: str) -> str:
@@ -27,15 +27,14 @@ def _class(kind: str) -> str:
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
 
 
-class Both(dict):
-    """A small dict over a large one."""
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write bytes as letters: printable ones as themselves, the others from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
-    def __init__(self, under: dict, over: dict):
-        super().__init__(over)
-        self.under = under
 
-    def __missing__(self, key):
-        return self.under[key]
+LETTERS = _byte_letters()
 
 
 @lru_cache(maxsize=2)
@@ -46,9 +45,11 @@ def encoder(path: str) -> ChunkEncoder:
 
 class ChunkEncoder:
     def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.bare = Tokenizer(self.tokenizer.model)  # the same merges for pieces that are already split
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache, self.known = cache, {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -58,29 +59,58 @@ class ChunkEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of each plain chunk: all are encoded as one text, which the ids that end a piece cut up again."""
-        pieces = [1 if c.isascii() and c.isalpha() else len(PIECES.findall(c)) for c in chunks]
-        ids = self._whole([" ".join(chunks)])[0]
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece: all are encoded as one text, which the ids that end a piece cut up again."""
+        if not pieces:
+            return []
+        mapped = [p if p.isascii() else p.encode().decode("latin-1").translate(LETTERS) for p in pieces]
+        ids = np.asarray(self.bare.encode_batch_fast([" ".join(mapped)], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
         ends = np.concatenate([[0], np.flatnonzero(self.closes[np.frombuffer(ids, "<u4")]) + 1]) * 4
-        if len(ends) - 1 != sum(pieces) or ends[-1] != len(ids):
-            return self._whole(chunks)
-        at = ends[np.concatenate([[0], np.cumsum(pieces, dtype=np.int64)])].tolist()
+        if len(ends) - 1 != len(pieces) or ends[-1] != len(ids):
+            return self._whole(pieces)
+        at = ends.tolist()
         return [ids[a:b] for a, b in zip(at, at[1:])]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        chunks: list[list[str] | None] = []
-        for text in texts:
-            plain = PLAIN.match(text) and not any(s in text for s in self.special)
-            chunks.append(text.lower().split() if plain else None)
+    def _chunks(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that aren't known, from those of their pieces (a piece is a chunk of itself)."""
         known = self.known
-        new = list({c for own in chunks if own is not None for c in own if c not in known})
-        fresh = dict(zip(new, self._chunks(new)))
+        split = {c: (c,) if c.isascii() and c.isalpha() else PIECES.findall(c) for c in chunks}
+        new = list({p for own in split.values() for p in own if p not in known})
+        fresh = dict(zip(new, self._pieces(new)))
         if len(known) < self.cache:  # common words come early, and a full cache stays as it is
             known.update(fresh)
-            fresh = known
-        else:
-            fresh = Both(known, fresh)
-        whole = iter(self._whole([t for t, own in zip(texts, chunks) if own is None]))
-        return [next(whole) if own is None else b"".join(map(fresh.__getitem__, own)) for own in chunks]
+        for c, own in split.items():
+            if c not in fresh:
+                fresh[c] = b"".join([fresh.get(p) or known[p] for p in own])
+        if len(known) < self.cache:
+            known.update(fresh)
+        return fresh
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        get, lacking = self.known.get, set()
+        found: list[list | None] = []
+        parts: list[list[str] | None] = []
+        for text in texts:
+            if PLAIN.match(text) and not any(s in text for s in self.special):
+                own = text.lower().split()
+                ids = list(map(get, own))
+                if None in ids:
+                    lacking.update([c for c, i in zip(own, ids) if i is None])
+                    parts.append(own)
+                else:
+                    parts.append(None)
+                found.append(ids)
+            else:
+                found.append(None), parts.append(None)
+        fresh = self._chunks(lacking)
+        whole = iter(self._whole([t for t, ids in zip(texts, found) if ids is None]))
+        out = []
+        for ids, own in zip(found, parts):
+            if ids is None:
+                out.append(next(whole))
+            elif own is None:
+                out.append(b"".join(ids))
+            else:
+                out.append(b"".join([fresh[c] if i is None else i for c, i in zip(own, ids)]))
+        return out
