@@ -7,7 +7,7 @@ it. So memory is bounded by the chunk size and the batch, not by the record.
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest id is written as response and
 the others as revisit records that name its digest and id; only digests are shuffled to find them.
 
-Archives lie in the folder that the session names in spark.checkpoint.dir and are opened through pyarrow's file systems
+Archives are gzipped record by record, as is usual, and lie in the folder that the session names in spark.checkpoint.dir and are opened through pyarrow's file systems
 (local, HDFS, object stores). A task writes under a temporary name and renames at its end, so a task that is run
 again replaces its own archive with an equal one.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +30,9 @@ from brindle.llm.common import NO_ID, shared_dir, table, unkeyed
 
 CHUNK = 1 << 18
 MIN_REVISIT = 100
-BLOCK = 1 << 20  # read from an archive at once
+BLOCK = 1 << 16  # read from an archive at once
 ROWS_PER_ARCHIVE = 50_000
+GZIP = 31  # zlib's window bits for gzip members
 
 _CHUNKS = (
     ("id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk", pa.int32()), ("data", pa.binary()),
@@ -74,19 +76,21 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, chunk: in
 
         fs, root = FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc"
-        draft, out, n = f"{name}.{uuid.uuid4().hex}.tmp", None, 0
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz"
+        draft, out, member, n = f"{name}.{uuid.uuid4().hex}.tmp", None, None, 0
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("id", "url", "length", "digest", "refers_to", "chunk")]
             for key, url, length, digest, refers, k, data in zip(*cols, batch.column("data")):
                 if out is None:
                     out = fs.open_output_stream(draft, compression=None)
                 if k == 0:
-                    out.write((b"\r\n\r\n" if n else b"") + _head(key, url, length, digest, refers))
-                    n += 1
-                out.write(data.as_buffer())
+                    if member:
+                        out.write(member.compress(b"\r\n\r\n") + member.flush())
+                    member, n = zlib.compressobj(1, zlib.DEFLATED, GZIP), n + 1
+                    out.write(member.compress(_head(key, url, length, digest, refers)))
+                out.write(member.compress(data.as_buffer()))
         if out is not None:
-            out.write(b"\r\n\r\n")
+            out.write(member.compress(b"\r\n\r\n") + member.flush())
             out.close()
             fs.move(draft, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
@@ -109,15 +113,21 @@ def _head(key: int, url: str, length: int, digest: str, refers: int | None) -> b
 
 
 class _Stream:
-    """Lines and byte counts from a file in blocks."""
+    """Lines and byte counts from a file of gzip members, in blocks."""
 
     def __init__(self, file):
-        self.file, self.held = file, b""
+        self.file, self.held, self.raw, self.member = file, b"", b"", zlib.decompressobj(GZIP)
 
     def _more(self) -> bool:
-        block = self.file.read(BLOCK)
-        self.held += block
-        return bool(block)
+        if not self.raw and not self.member.unconsumed_tail:
+            self.raw = self.file.read(BLOCK)
+            if not self.raw:
+                return False
+        self.held += self.member.decompress(self.member.unconsumed_tail or self.raw, BLOCK)
+        self.raw = b""
+        if self.member.eof:
+            self.raw, self.member = self.member.unused_data, zlib.decompressobj(GZIP)
+        return True
 
     def line(self) -> bytes | None:
         while (at := self.held.find(b"\r\n")) < 0:
