@@ -43,7 +43,13 @@ def op9_dominance_packing(spark, sf_dir):
     return pack(spark, read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op8_spaced_seed_decontamination, op9_dominance_packing)}
+def op10_layout_html_text(spark, sf_dir):
+    from brindle.llm.htmltext import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op8_spaced_seed_decontamination, op9_dominance_packing, op10_layout_html_text)}
 ORACLES: dict[str, str] = {
     "op4_warc_chunk_table": """
 WITH p AS (
