@@ -5,6 +5,13 @@ from __future__ import annotations
 from brindle.llm.common import read
 
 
+def op1_ordinal_quality(spark, sf_dir):
+    from brindle.llm.ordinal import grade_documents, train
+
+    docs = read(spark, sf_dir, "documents")
+    return grade_documents(docs, train(spark, docs, read(spark, sf_dir, "labels")))
+
+
 def op2_suffix_dedup(spark, sf_dir):
     from brindle.llm.suffix import removed_bytes
 
@@ -49,7 +56,7 @@ def op10_layout_html_text(spark, sf_dir):
     return extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op8_spaced_seed_decontamination, op9_dominance_packing, op10_layout_html_text)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op8_spaced_seed_decontamination, op9_dominance_packing, op10_layout_html_text)}
 ORACLES: dict[str, str] = {
     "op4_warc_chunk_table": """
 WITH p AS (
