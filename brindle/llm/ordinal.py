@@ -21,10 +21,11 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import LETTERED, SPACED, Rolling, mix, word_bounds
@@ -119,7 +120,7 @@ class CumulativeLink:
         n = len(grade)
         a, b = buckets(h)
         live, cols = np.unique(np.concatenate([a, b]), return_inverse=True)
-        rows = np.concatenate([doc, doc])
+        cols, rows = cols.astype(np.int32), np.concatenate([doc, doc]).astype(np.int32)
         share = np.array([(grade < k).mean() for k in range(1, GRADES)]).clip(0.01, 0.99)
         first = np.log(share / (1 - share))
         theta = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.1))])  # t1 and the logs of the gaps
@@ -152,15 +153,16 @@ def graded(labels: DataFrame) -> DataFrame:
     return worst.select("id", F.when(F.col("t") > 0, 0).when(F.col("q") > 0, 2).otherwise(1).alias("grade"))
 
 
-def telling(counts: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Which weights are live: counts[grade, weight] documents touch a weight, of grades[grade] in all."""
-    total, n = counts.sum(0), grades.sum()
-    out = np.zeros(counts.shape[1], bool)
-    for k in range(GRADES):
-        expected = total * grades[k] / n
-        spread = np.sqrt(np.maximum(expected * (1 - grades[k] / n) * (1 - total / n), 1e-9))
-        out |= (total >= LEAST_DOCS) & (np.abs(counts[k] - expected) - 0.5 > STANDS_OUT * spread)
-    return out
+def telling(grades: dict[int, int]) -> Column:
+    """Whether a weight is live: g0, g1, ... documents of each grade touch it, n in all; ``grades`` has the documents of each."""
+    every = float(sum(grades.values()))
+
+    def stands_out(k: int) -> Column:
+        share = grades.get(k, 0) / every
+        spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share) * (1 - F.col("n") / every), F.lit(1e-9)))
+        return F.abs(F.col(f"g{k}") - F.col("n") * share) - 0.5 > STANDS_OUT * spread
+
+    return (F.col("n") >= LEAST_DOCS) & reduce(lambda x, y: x | y, [stands_out(k) for k in range(GRADES)])
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> CumulativeLink | None:
@@ -183,15 +185,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         yield pd.DataFrame({"grade": grade, "weight": weight, "n": total[grade, weight]})
 
     counted = rows.mapInPandas(count, "grade int, weight int, n long").groupBy("grade", "weight").agg(F.sum("n").alias("n"))
-    counted = counted.groupBy("weight").agg(*[F.sum(F.when(F.col("grade") == k, F.col("n"))).alias(f"g{k}") for k in range(GRADES)], F.sum("n").alias("n"))
-    got = counted.where(F.col("n") >= LEAST_DOCS).na.fill(0).toPandas()  # <= 2^BITS rows of four numbers
     grades = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     if len(grades) < 2:
         return None
-    counts = np.zeros((GRADES, 1 << BITS))
-    for k in range(GRADES):
-        counts[k, got["weight"]] = got[f"g{k}"]
-    live = telling(counts, np.array([grades.get(k, 0) for k in range(GRADES)], dtype=float))
+    counted = counted.groupBy("weight").agg(*[F.sum(F.when(F.col("grade") == k, F.col("n")).otherwise(0)).alias(f"g{k}") for k in range(GRADES)], F.sum("n").alias("n"))
+    live = np.zeros(1 << BITS, bool)
+    live[[r["weight"] for r in counted.where(telling(grades)).select("weight").collect()]] = True  # < 2^BITS numbers, some thousands
     shipped = np.packbits(live).tobytes()
 
     def featurize(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
