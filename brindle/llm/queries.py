@@ -37,6 +37,12 @@ def op5_rendezvous_sharding(spark, sf_dir):
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_pseudo_likelihood(spark, sf_dir):
+    from brindle.llm.lmscore import pseudo_likelihood
+
+    return pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op7_minmax_near_duplicates(spark, sf_dir):
     from brindle.llm.minmax import near_duplicates
 
@@ -62,7 +68,7 @@ def op10_layout_html_text(spark, sf_dir):
     return extract(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op7_minmax_near_duplicates, op8_spaced_seed_decontamination, op9_dominance_packing, op10_layout_html_text)}
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_suffix_dedup, op3_crf_line_quality, op4_warc_chunk_table, op5_rendezvous_sharding, op6_pseudo_likelihood, op7_minmax_near_duplicates, op8_spaced_seed_decontamination, op9_dominance_packing, op10_layout_html_text)}
 ORACLES: dict[str, str] = {
     "op4_warc_chunk_table": """
 WITH p AS (
