@@ -233,10 +233,10 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, lis
     return gone.groupBy("id").agg(spans.alias("spans")), tables
 
 
-def merge(spans: list[dict] | None) -> list[tuple[int, int]]:
+def merge(spans) -> list[tuple[int, int]]:
     """Maximal runs of the spans."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
+    for a, b in sorted((s["a"], s["b"]) for s in ([] if spans is None else spans)):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
