@@ -6,12 +6,13 @@ bands of 4 values from different permutations, so two sets of J = 0.8 share a ba
 
 1. Documents with one set form a class, named by its smallest id; classes go on, copies don't.
 2. Star round: in each band bucket the classes are compared with its smallest one, on full sets. The links give components.
-3. Cross round: a bucket whose classes are now in one component is done. In the others every two classes of different
-   components are compared, first by the bytes of their signatures (below ``SURE`` of 128 equal values J >= 0.8 is ruled out:
-   six standard deviations), then on full sets. Large buckets are compared block by block, in tasks of their own.
+3. Cross round: a bucket whose classes are now in one component is done. In the others, classes outside the bucket's
+   largest component are compared with the classes of all other components, in blocks: first by the bytes of their signatures
+   (below ``SURE`` of 128 equal values J >= 0.8 is ruled out: six standard deviations), then on full sets, unless the links
+   found so far connect them already. A block gives back links that connect, fewer than it has classes.
 
 So every two classes that share a band are either compared or already connected, and no list of all pairs arises in groups
-of near copies. Sets travel once per comparison partner group, streaming past the one they're compared with.
+of near copies. Buckets with the same classes are taken once.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and are linked with nothing; a text of fewer words
 than a shingle has one shingle, its whole sequence; rows that repeat a doc_id and text are one document; a null doc_id is an
@@ -144,6 +145,16 @@ def _sets(k: int):
     return sets
 
 
+def _alike(own: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets have percent / 100 of their union in common, exactly."""
+    if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
+        return False
+    at = np.searchsorted(own, other)
+    at[at == len(own)] = 0
+    both = int((own[at] == other).sum())
+    return 100 * both >= percent * (len(own) + len(other) - both)
+
+
 def _compare(percent: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Links (a, b) from rows sorted by (centre, salt, is member): each member against the set before it."""
@@ -154,22 +165,20 @@ def _compare(percent: int):
                 other = np.frombuffer(text.as_buffer(), np.uint64)
                 if key == c:
                     centre, own = c, other.copy()
-                    continue
-                if c != centre or own is None:
+                elif c != centre:
                     raise ValueError("a member came without its centre")
-                both = 0
-                if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
-                    at = np.searchsorted(own, other)
-                    at[at == len(own)] = 0
-                    both = int((own[at] == other).sum())
-                if 100 * both >= percent * (len(own) + len(other) - both):
+                elif _alike(own, other, percent):
                     out.append((c, key))
-            cols = list(zip(*out)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+            yield _pairs(out)
 
     return compare
 
 
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[], []]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["a", "b"])
+
+
 def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (centre, id) whose full sets are similar enough. Members of a large star are dealt over salts, each with a copy
     of the centre, by a hash of the member."""
@@ -180,34 +189,53 @@ def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int)
     return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member", "id").mapInArrow(_compare(percent), "a long, b long")
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (centre, id) of different components from rows sorted by (cell, side): cells hold up to two blocks of a bucket."""
-
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
-        a = [r for r in rows if r[1] == 0]
-        b = [r for r in rows if r[1] == 1] or a
-        found: list[tuple[int, int]] = []
-        if a:
-            sig = np.frombuffer(b"".join(r[5] for r in b), np.uint8).reshape(len(b), -1)
-            ids, comp, n = (np.array([r[k] for r in b]) for k in (2, 3, 4))
-            for _, _, key, c, size, own in a:
-                near = np.flatnonzero((comp != c) & (100 * np.minimum(n, size) >= 80 * np.maximum(n, size)))
-                near = near[(sig[near] == np.frombuffer(own, np.uint8)).sum(1) >= SURE]
-                found += [(min(key, o), max(key, o)) for o in ids[near].tolist()]
-        cols = list(zip(*sorted(set(found)))) or [[], []]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["centre", "id"])
-
-    rows: list[tuple] = []
-    last = None
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("cell", "side", "id", "component", "n", "sig"))):
-            if row[0] != last:
-                if rows:
-                    yield pairs(rows)
-                rows, last = [], row[0]
-            rows.append(row)
-    if rows:
-        yield pairs(rows)
+_CELL = ("cell", "side", "id", "component", "n", "sig", "shingles")
+
+
+def _cross(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between the rows of side 0 and those of side 1 in other components, but for links that connect nothing new."""
+    left, right = [r for r in rows if r[1] == 0], [r for r in rows if r[1] == 1]
+    if not left or not right:
+        return []
+    sig = np.frombuffer(b"".join(r[5] for r in right), np.uint8).reshape(len(right), -1)
+    component, n = np.array([r[3] for r in right]), np.array([r[4] for r in right])
+    over: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := over.get(c, c)) != c:
+            over[c] = over.get(up, up)
+            c = up
+        return c
+
+    links = []
+    for _, _, key, own, size, mine, text in left:
+        near = np.flatnonzero((component != own) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
+        equal = (sig[near] == np.frombuffer(mine, np.uint8)).sum(1)
+        near, equal = near[equal >= SURE], equal[equal >= SURE]
+        shingles = np.frombuffer(text, np.uint64)
+        for j in near[np.argsort(-equal, kind="stable")].tolist():
+            a, b = root(own), root(right[j][3])
+            if a != b and _alike(shingles, np.frombuffer(right[j][6], np.uint64), percent):
+                over[a] = b
+                links.append((key, right[j][2]))
+    return links
+
+
+def _across(percent: int):
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links from rows sorted by (cell, side, id)."""
+        rows: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(c).to_pylist() for c in _CELL)):
+                if rows and row[0] != rows[0][0]:
+                    out += _cross(rows, percent)
+                    rows = []
+                rows.append(row)
+            yield _pairs(out)
+        yield _pairs(_cross(rows, percent))
+
+    return across
 
 
 def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, list[DataFrame]]:
@@ -229,22 +257,28 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80)
     links = table(spark, _links(spark, star, sets, percent), "links")
     first = table(spark, components(spark, links), "components")
 
-    # buckets that still hold several components
+    # buckets that still hold several components; of those with the same classes, one
     placed = found.select("id", "band").join(first, "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
-    several = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi")
-    open_ = placed.join(several.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # block i meets block j >= i in cell (i, j): as side 0 in cells (i, j), as side 1 in cells (j, i) of lower blocks
-    cells = open_.select("id", "component", "band", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select(
-        F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "component"
+    mark = F.xxhash64("id")
+    parts = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 40)).alias("y"))
+    several = parts.groupBy("band").agg(
+        F.max(F.struct("c", "component")).alias("largest"), F.sum("c").alias("m"), F.count("*").alias("parts"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")
+    )
+    several = several.where("parts > 1").groupBy("m", "x", "y").agg(F.min(F.struct("band", "largest")).alias("one"))
+    blocks = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    several = several.select(
+        "one.band", F.col("one.largest.component").alias("largest"), blocks(F.col("m")).alias("wide"), blocks(F.col("m") - F.col("one.largest.c")).alias("high")
+    )
+    open_ = placed.join(several, "band")
+    right = open_.select("id", "component", "band", F.pmod(mark, "wide").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("j"), F.lit(1).alias("side"))
+    left = open_.where("component <> largest").select(
+        "id", "component", "band", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.pmod(F.xxhash64("id", F.lit(1)), "high").cast("int").alias("j"), F.lit(0).alias("side")
     )
-    cells = cells.join(leads.select("id", "n", "sig"), "id")
-    pairs = cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_across, "centre long, id long").distinct()
-    pairs = table(spark, pairs, "pairs")
-    more = table(spark, _links(spark, pairs, sets, percent), "links")
+    cells = left.unionByName(right).select(F.xxhash64("band", "i", "j").alias("cell"), "side", "id", "component")
+    cells = cells.join(leads.select("id", "n", "sig").join(sets, "id"), "id").select(*_CELL)
+    more = table(spark, cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_across(percent), "a long, b long"), "links")
     final = table(spark, components(spark, links.unionByName(more)), "components")
-    drop(spark, found, sets, pairs, first)
+    drop(spark, found, sets, first)
     where = classes.select("id", F.col("first")).join(final.withColumnsRenamed({"id": "first"}), "first", "left")
     where = where.select("id", F.coalesce("component", "first").alias("component")).distinct()
     out = marks.select("id", "n").join(where, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
