@@ -32,7 +32,7 @@ from brindle.llm.bytehash import LETTERED, SPACED, Rolling, mix, word_bounds
 from brindle.llm.common import drop, table
 
 GRADES = 3
-SAMPLE, LEAST_DOCS, STANDS_OUT = 12_000, 5, 4.5
+SAMPLE, LEAST_DOCS, STANDS_OUT = 9_000, 5, 4.5
 BITS = 20
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.6)
 TAIL = 0.2  # grades weigh alike in training, good documents are the most in fact
@@ -115,12 +115,16 @@ class CumulativeLink:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - score[:, None], -500, 500)))
 
     @classmethod
-    def fit(cls, doc: np.ndarray, h: np.ndarray, grade: np.ndarray, rounds: int = 300, rate: float = 0.05, shrink: float = 1e-3) -> CumulativeLink:
+    def fit(cls, doc: np.ndarray, h: np.ndarray, grade: np.ndarray, rounds: int = 200, rate: float = 0.07, shrink: float = 1e-3) -> CumulativeLink:
         """From the live features of the documents, whose grades are given."""
         n = len(grade)
         a, b = buckets(h)
-        live, cols = np.unique(np.concatenate([a, b]), return_inverse=True)
-        cols, rows = cols.astype(np.int32), np.concatenate([doc, doc]).astype(np.int32)
+        seen = np.zeros(1 << BITS, bool)
+        seen[a] = seen[b] = True
+        live = np.flatnonzero(seen)
+        at = np.zeros(1 << BITS, np.int32)
+        at[live] = np.arange(len(live))
+        a, b, doc = at[a], at[b], doc.astype(np.int32)
         share = np.array([(grade < k).mean() for k in range(1, GRADES)]).clip(0.01, 0.99)
         first = np.log(share / (1 - share))
         theta = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.1))])  # t1 and the logs of the gaps
@@ -129,14 +133,15 @@ class CumulativeLink:
         each = 1.0 / np.maximum(np.bincount(grade, minlength=GRADES), 1)[grade] / len(np.unique(grade))  # grades weigh alike
         for step in range(1, rounds + 1):
             w, t = x[: len(live)], np.concatenate([x[len(live) : len(live) + 1], np.exp(x[len(live) + 1 :])]).cumsum()
-            score = np.bincount(rows, weights=w[cols], minlength=n)
+            score = np.bincount(doc, weights=w[a] + w[b], minlength=n)
             low = np.concatenate([np.full((n, 1), -40.0), t[None] - score[:, None], np.full((n, 1), 40.0)], axis=1)
             p = 1 / (1 + np.exp(-low))
             k = np.arange(n)
             top, bottom = p[k, grade + 1], p[k, grade]
             size = np.maximum(top - bottom, 1e-12)
             dt, db = top * (1 - top) / size * each, bottom * (1 - bottom) / size * each
-            gw = np.bincount(cols, weights=(db - dt)[rows], minlength=len(live)) - shrink * w
+            pull = (db - dt)[doc]
+            gw = np.bincount(a, weights=pull, minlength=len(live)) + np.bincount(b, weights=pull, minlength=len(live)) - shrink * w
             gt = np.array([dt[grade == j].sum() - db[grade == j + 1].sum() for j in range(GRADES - 1)])
             tail = gt[::-1].cumsum()[::-1]  # a gap moves all thresholds after it
             g = np.concatenate([gw, tail[:1], tail[1:] * np.exp(x[len(live) + 1 :])])
