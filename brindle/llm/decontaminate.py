@@ -32,7 +32,7 @@ from brindle.llm.common import NO_ID, keyed, table, unkeyed
 WINDOW, MISSES, LEAST = 13, 2, 5
 MASKS = ((0, 1, 2, 3, 7, 10), (0, 1, 3, 5, 6, 7))
 BITS = 24
-BUFFER = 1 << 21
+BUFFER = 1 << 20
 AROUND = WINDOW - 1
 
 

@@ -35,7 +35,7 @@ PERMUTATIONS, BANDS = 64, 32
 SURE = 75
 BLOCK = 2048  # classes of a bucket that are compared with as many others in one task
 SALTS = 4096  # members of a star that one task compares with its centre, about
-BUFFER, CACHED = 1 << 21, 1 << 16
+BUFFER, CACHED = 1 << 20, 1 << 16
 
 _RNG = np.random.Generator(np.random.PCG64(11))
 _XOR = _RNG.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)

@@ -37,7 +37,7 @@ BITS = 20
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.6)
 TAIL = 0.2  # grades weigh alike in training, good documents are the most in fact
 PREFIXES = (5, 6, 7, 8)
-SLICE = 1 << 21  # bytes featurized together
+SLICE = 1 << 20  # bytes featurized together
 
 _MARKS = np.array([chr(c) in "#*$%&<>!@^~=+" for c in range(256)])
 _UPPER = np.array([65 <= c <= 90 for c in range(256)])

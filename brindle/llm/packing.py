@@ -36,9 +36,9 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """id, piece, start, length, ids_crc32: the token pieces of each document, the end id included."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from brindle.llm.tokens import encoder
+        from brindle.llm.tokens import ChunkEncoder
 
-        encode, end = encoder(tokenizer).encode, np.array([END_ID], dtype="<u4").tobytes()
+        encode, end = ChunkEncoder(tokenizer).encode, np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 part = batch.iloc[at : at + SLICE]

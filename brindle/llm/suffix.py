@@ -34,7 +34,7 @@ from brindle.llm.bytehash import Rolling, sliding_min
 from brindle.llm.common import NO_ID, keyed, table, unkeyed
 
 LENGTH, GRAM = 100, 50
-BUFFER, SEGMENT = 1 << 21, 1 << 22  # bytes hashed together; bytes of a long text taken at once
+BUFFER, SEGMENT = 1 << 20, 1 << 20  # bytes hashed together; bytes of a long text taken at once
 _PLACE = np.uint64((1 << 24) - 1)  # of a position in a buffer; the other bits choose the anchor
 HALL = 2048  # contents of a group that are settled in memory
 

@@ -38,23 +38,23 @@ LETTERS = _byte_letters()
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder a worker process, so that its cache serves all tasks."""
-    return ChunkEncoder(path)
+def _load(path: str) -> tuple:
+    """The tokenizer, the same merges for pieces that are already split, its special strings, and which ids end a piece."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole = Tokenizer.from_file(path)
+    bare = Tokenizer(whole.model)
+    bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    vocabulary = whole.get_vocab(with_added_tokens=True)
+    closes = np.zeros(max(vocabulary.values()) + 1, bool)
+    closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return whole, bare, [t.content for t in whole.get_added_tokens_decoder().values()], closes
 
 
 class ChunkEncoder:
     def __init__(self, path: str, cache: int = CACHE):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.bare = Tokenizer(self.tokenizer.model)  # the same merges for pieces that are already split
-        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer, self.bare, self.special, self.closes = _load(path)
         self.cache, self.known = cache, {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a piece
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
