@@ -82,7 +82,7 @@ def gapless(df: DataFrame, group: list[str], order: list[str], rows: int, out: s
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
-    """``(id, component)`` for the ids in ``links(a, b)``; component is the smallest id reachable.
+    """``(id, component)`` for the ids in ``links(a, b)`` that aren't the smallest of their component; component is that id.
 
     Alternating large-star and small-star steps: each node's neighbours are hung under the smallest of them.
     Every step is one aggregation and one equi-join on ids, written to the shared folder; nothing but

@@ -205,7 +205,7 @@ def train(docs: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS) -> WindowNe
                 values = [own.flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pd.DataFrame({"block": range(BLOCKS), "part": TaskContext.get().partitionId(), "words": words, "values": values})
 
-        def merge(key, parts: pd.DataFrame) -> pd.DataFrame:
+        def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
             values, words = _average(parts)
             return pd.DataFrame({"block": [key[0]], "words": [words], "values": [values.tobytes()]})
 
