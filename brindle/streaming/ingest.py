@@ -36,4 +36,7 @@ def current(spark: SparkSession, path: str) -> DataFrame:
 
 def event_counts(events: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events by window and type on a stream or a table, late ones dropped beyond the watermark."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    kind = events.schema["ts"].dataType
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    counted = timed.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return counted.select(F.col("w.start").cast(kind).alias("start"), "event_type", "n", "total")
