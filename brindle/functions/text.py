@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column
@@ -14,15 +15,26 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 _LINE = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _WORD = r"\p{L}\p{N}_"
 CJK = "[一-鿿]"
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == ""
+    return ~c.rlike(f"[^{SPACE[1:]}")
+
+
+def one_line_end(c: Column) -> Column:
+    """Every kind of line end as a newline."""
+    return F.regexp_replace(c, _LINE, "\n")
 
 
 def lines(c: Column) -> Column:
@@ -40,7 +52,8 @@ def _accents() -> tuple[str, str]:
 
 def fold(c: Column) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}", ""), *_accents())
+    plain = F.lower(c)
+    return F.when(~plain.rlike(r"[^\x00-\x7F]"), plain).otherwise(F.translate(F.regexp_replace(plain, r"\p{Mn}", ""), *_accents()))
 
 
 def terms(c: Column) -> Column:

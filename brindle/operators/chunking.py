@@ -29,7 +29,9 @@ def pack(parts: Column, budget: Column) -> Column:
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc: Column, p: Column) -> Column:
-        joined = F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit("\n\n"), p))
+        return T.let(F.when(acc["now"] == "", p).otherwise(F.concat(acc["now"], F.lit("\n\n"), p)), lambda joined: place(acc, p, joined))
+
+    def place(acc: Column, p: Column, joined: Column) -> Column:
         fits = F.length(joined) <= budget
         closed = F.when(fits | (acc["now"] == ""), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
         return F.struct(closed.alias("done"), F.when(fits, joined).otherwise(p).alias("now"))
@@ -54,28 +56,34 @@ def table_parts(table: Column, path: Column, most: int = config.MAX_CHARS) -> Co
     """struct(parts, too_long): a table's rows in parts that each begin with its two header lines; a row over the budget is a
     part of its own."""
     prefix, budget = _room(path, most)
-    all_lines = T.lines(table)
-    header = F.concat_ws("\n", F.slice(all_lines, 1, 2))
-    rows = F.slice(all_lines, 3, F.greatest(F.size(all_lines), F.lit(3)))
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"), F.lit(False).alias("long"))
 
-    def step(acc: Column, row: Column) -> Column:
-        alone = F.concat(header, F.lit("\n"), row)
-        joined = F.concat(F.coalesce(acc["now"], header), F.lit("\n"), row)
-        fits = F.length(joined) <= budget
-        over = ~fits & (F.length(alone) > budget)
-        closed = F.when(fits | acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
-        return F.struct(
-            F.when(over, F.concat(closed, F.array(alone))).otherwise(closed).alias("done"),
-            F.when(fits, joined).when(over, F.lit(None)).otherwise(alone).alias("now"),
-            (acc["long"] | over).alias("long"),
-        )
+    def fold(header: Column, rows: Column) -> Column:
+        def step(acc: Column, row: Column) -> Column:
+            return T.let(F.concat(F.coalesce(acc["now"], header), F.lit("\n"), row), lambda joined: place(acc, row, joined))
+
+        def place(acc: Column, row: Column, joined: Column) -> Column:
+            fits = F.length(joined) <= budget
+            over = ~fits & (F.length(header) + 1 + F.length(row) > budget)
+            alone = F.concat(header, F.lit("\n"), row)
+            closed = F.when(fits | acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+            return F.struct(
+                F.when(over, F.concat(closed, F.array(alone))).otherwise(closed).alias("done"),
+                F.when(fits, joined).when(over, F.lit(None)).otherwise(alone).alias("now"),
+                (acc["long"] | over).alias("long"),
+            )
+
+        def finish(acc: Column) -> Column:
+            parts = F.when(acc["now"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
+            return F.struct(F.transform(parts, lambda p: F.concat(prefix, p)).alias("parts"), acc["long"].alias("too_long"))
+
+        return F.aggregate(rows, start, step, finish)
+
+    def cut(all_lines: Column) -> Column:
+        whole = F.struct(F.array(F.concat(prefix, table)).alias("parts"), F.lit(False).alias("too_long"))
+        return F.when(F.size(all_lines) <= 2, whole).otherwise(fold(F.concat_ws("\n", F.slice(all_lines, 1, 2)), F.slice(all_lines, 3, F.greatest(F.size(all_lines), F.lit(3)))))
 
-    folded = F.aggregate(rows, start, step)
-    parts = F.when(folded["now"].isNull(), folded["done"]).otherwise(F.concat(folded["done"], F.array(folded["now"])))
-    whole = (F.size(all_lines) <= 2) | (F.size(parts) == 0)
-    parts = F.when(whole, F.array(table)).otherwise(parts)
-    return F.struct(F.transform(parts, lambda p: F.concat(prefix, p)).alias("parts"), (~whole & folded["long"]).alias("too_long"))
+    return T.let(T.lines(table), cut)
 
 
 def chunk_elements(elements: DataFrame, most: int = config.MAX_CHARS) -> DataFrame:
@@ -97,7 +105,7 @@ def chunk_elements(elements: DataFrame, most: int = config.MAX_CHARS) -> DataFra
 def plain_elements(documents: DataFrame) -> DataFrame:
     """Documents without Markdown structure as one text element each."""
     null = F.lit(None)
-    body = T.strip(F.array_join(T.lines(F.col("text")), "\n"))
+    body = T.strip(T.one_line_end(F.col("text")))
     return documents.select(
         F.col("doc_id").cast("string").alias("doc_id"), F.lit("text").alias("kind"), F.lit(0).alias("order"), body.alias("text"), F.array().cast("array<string>").alias("heading_path"),
         null.cast("int").alias("page"), null.cast("struct<x0:double,top:double,x1:double,bottom:double>").alias("bbox"), null.cast("string").alias("image_ref"),

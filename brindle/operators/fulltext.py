@@ -10,10 +10,13 @@ from brindle.functions import text as T
 from brindle.operators.graph import top_k
 
 
-def postings(chunks: DataFrame, segment=None) -> DataFrame:
-    """(term, chunk_id, positions, n_terms): n_terms is the chunk's length in terms."""
+def postings(chunks: DataFrame, segment=None, only: DataFrame | None = None) -> DataFrame:
+    """(term, chunk_id, positions, n_terms): n_terms is the chunk's length in terms. For a search without a stored index, ``only``
+    (term) keeps just the terms that are asked for, before anything is shuffled."""
     words = chunks.select("chunk_id", T.terms(T.index_text(F.col("text"), segment)).alias("t"))
     rows = words.select("chunk_id", F.size("t").alias("n_terms"), F.posexplode("t").alias("pos", "term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("n_terms").alias("n_terms"))
 
 
@@ -39,15 +42,24 @@ def matches(asked: DataFrame, index: DataFrame) -> DataFrame:
     return one.unionByName(met.groupBy("query_id", "phrase", "chunk_id", "n_terms").agg(F.count("*").alias("f")))
 
 
-def search(queries: DataFrame, index: DataFrame, size: DataFrame, k: int = 10, segment=None) -> DataFrame:
-    """Hits of the full-text path; scores are negative, the lower the better."""
-    found = matches(query_phrases(queries, segment), index)
-    rows = found.groupBy("query_id", "phrase").agg(F.count("*").alias("n_p"))
+def _weigh(rows: DataFrame, size: DataFrame) -> DataFrame:
+    """Adds ``part``, the score of ``f`` occurrences in a chunk of ``n_terms`` terms of what ``n_p`` chunks hold."""
     k1, b = config.BM25_K1, config.BM25_B
     idf = F.ln((F.col("n_chunks") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(idf > 0, idf).otherwise(F.lit(config.BM25_FLOOR))
     part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("n_terms") / F.col("mean_terms")))
-    scored = found.join(rows, ["query_id", "phrase"]).join(F.broadcast(size)).withColumn("part", part)  # size is one row
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("phrase", "part"))), lambda s: s["part"])
-    total = scored.groupBy("query_id", "chunk_id").agg(F.aggregate(in_order, F.lit(0.0), lambda a, x: a - x).alias("score"))
+    return rows.join(F.broadcast(size)).withColumn("part", part)  # size is one row
+
+
+def search(queries: DataFrame, index: DataFrame, size: DataFrame, k: int = 10, segment=None) -> DataFrame:
+    """Hits of the full-text path; scores are negative, the lower the better, and rounded to twelve places so that equal texts tie
+    in whatever order a shuffle adds them up. A term's weight in a chunk is computed once, not for every query that asks for it."""
+    asked = query_phrases(queries, segment)
+    single = index.select("term", "chunk_id", "n_terms", F.size("positions").cast("long").alias("f"))
+    held = single.groupBy("term").agg(F.count_if(F.col("f") <= F.col("n_terms")).alias("n_p"))  # all rows, by the columns that ``single`` reads: one exchange serves both
+    one = asked.where("size = 1").select("query_id", "term").join(_weigh(single.join(held, "term"), size).select("term", "chunk_id", "part"), "term")
+    found = matches(asked.where("size > 1"), index)
+    many = _weigh(found.join(found.groupBy("query_id", "phrase").agg(F.count("*").alias("n_p")), ["query_id", "phrase"]), size)
+    parts = one.select("query_id", "chunk_id", "part").unionByName(many.select("query_id", "chunk_id", "part"))
+    total = parts.groupBy("query_id", "chunk_id").agg(F.round(-F.sum("part"), 12).alias("score"))
     return top_k(total, [F.asc("score")], "fulltext", k)

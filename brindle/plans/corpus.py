@@ -8,12 +8,33 @@ from pyspark.sql import functions as F
 from brindle.operators import chunking, graph
 
 
+SMALL = 32 << 20  # bytes a core below which a table is dealt out anew
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is small for the cluster may lie in one row group and would be read by one core: it is dealt over all of
+    them. A table of any size that matters is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
+QUERY_SET = 10_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A query set that is asked in many places of a plan: up to QUERY_SET queries become a local table, computed once and small
+    enough to broadcast; a larger set stays a plan."""
+    rows = df.limit(QUERY_SET + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= QUERY_SET else df
+
+
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.plain_chunks(read(spark, sf_dir, "documents"))
+    return chunking.plain_chunks(spread(read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def handbook(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +61,10 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, query): for each source, the first upper-case name of its documents."""
-    names = read(spark, sf_dir, "documents").select("source", F.array_min(graph.constants(F.col("text"))).alias("name"))
+    names = spread(read(spark, sf_dir, "documents").select("source", "text")).select("source", F.array_min(graph.constants(F.col("text"))).alias("name"))
     first = names.where("name is not null").groupBy("source").agg(F.min("name").alias("name"))
     return first.select("source", "name").select(F.col("source").alias("query_id"), F.concat(F.lit("where is "), "name").alias("query"))
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmark_queries(spark, sf_dir).unionByName(name_queries(spark, sf_dir))
+    return settled(benchmark_queries(spark, sf_dir).unionByName(name_queries(spark, sf_dir)))

@@ -8,7 +8,7 @@ from brindle import config, index
 from brindle.functions import text as T
 from brindle.operators import chunking, evaluation, fulltext, fusion, graph, images, markdown, search, vectors
 from brindle.plans import sql
-from brindle.plans.corpus import benchmark_queries, handbook, plain_chunks, queries, read
+from brindle.plans.corpus import benchmark_queries, handbook, plain_chunks, queries, read, settled, spread
 from brindle.streaming.ingest import event_counts
 
 KS = [1, 5, 10]
@@ -67,14 +67,14 @@ def table_part_sizes(spark, d):
 
 
 def document_terms(spark, d):
-    words = read(spark, d, "documents").select(F.explode(T.terms(F.col("text"))).alias("term"))
+    words = spread(read(spark, d, "documents").select("text")).select(F.explode(T.terms(F.col("text"))).alias("term"))
     return words.groupBy("term").agg(F.count("*").alias("n"))
 
 
 def document_identifiers(spark, d):
     text = F.col("text")
-    docs = read(spark, d, "documents").select("doc_id", F.explode(graph.identifiers(text)).alias("token"))
-    return docs
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.explode(graph.identifiers(text)).alias("token"))
 
 
 def lexical_queries(spark, d):
@@ -88,20 +88,22 @@ def query_normal(spark, d):
 # paths
 
 
-def _text_index(spark, d):
+def _text_index(spark, d, asked):
+    """Chunks, and the part of their inverted index that the queries ask for."""
     chunks = plain_chunks(spark, d)
-    return chunks, fulltext.postings(chunks), fulltext.corpus_size(chunks)
+    return chunks, fulltext.postings(chunks, only=fulltext.query_phrases(asked)), fulltext.corpus_size(chunks)
 
 
 def bm25_search(spark, d):
-    _, postings, size = _text_index(spark, d)
-    return _score(fulltext.search(queries(spark, d), postings, size)).drop("path")
+    q = queries(spark, d)
+    _, postings, size = _text_index(spark, d, q)
+    return _score(fulltext.search(q, postings, size)).drop("path")
 
 
 def bm25_phrases(spark, d):
     """Chunks that hold the first five words of a benchmark item in a row: one token with dots is a phrase."""
-    q = benchmark_queries(spark, d).withColumn("query", F.array_join(T.terms(F.col("query")), "."))
-    _, postings, _ = _text_index(spark, d)
+    q = settled(benchmark_queries(spark, d).withColumn("query", F.array_join(T.terms(F.col("query")), ".")))
+    _, postings, _ = _text_index(spark, d, q)
     return fulltext.matches(fulltext.query_phrases(q), postings).select("query_id", "chunk_id", "f")
 
 
@@ -173,8 +175,8 @@ def question_sets(spark, d):
 
 
 def _hits(spark, d):
-    chunks, postings, size = _text_index(spark, d)
     q = queries(spark, d)
+    chunks, postings, size = _text_index(spark, d, q)
     g = graph.Graph(chunks)
     idx = search.Index(chunks, postings, size, vectors.embed(chunks, "chunk_id", "text"), g.nodes, g.edges, g.postings, graph.alias_map(g.nodes))
     return q, idx
@@ -194,15 +196,15 @@ def fused_equal(spark, d):
 
 
 def routed_weights(spark, d):
-    chunks, postings, size = _text_index(spark, d)
     q = queries(spark, d)
+    chunks, postings, size = _text_index(spark, d, q)
     return _score(fusion.route(q, fulltext.search(q, postings, size)), "weight")
 
 
 def reranked_search(spark, d):
     """Full-text hits reranked by the share of a query's words that a chunk holds."""
-    chunks, postings, size = _text_index(spark, d)
     q = queries(spark, d)
+    chunks, postings, size = _text_index(spark, d, q)
 
     def overlap(pairs):
         return [len(set(a.lower().split()) & set(b.lower().split())) / max(1, len(set(a.lower().split()))) for a, b in pairs]
@@ -219,13 +221,13 @@ def _questions(spark, d):
     found = bm25_phrases(spark, d).groupBy("query_id").agg(F.collect_set("chunk_id").alias("answers"))
     letter = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("query_id").substr(2, 20).cast("int") % 4 + 1).cast("int"))
     none = F.array().cast("array<string>")
-    return benchmark_queries(spark, d).join(found, "query_id", "left").select("query_id", "query", letter.alias("category"), F.coalesce("answers", none).alias("answers"))
+    return settled(benchmark_queries(spark, d).join(found, "query_id", "left").select("query_id", "query", letter.alias("category"), F.coalesce("answers", none).alias("answers")))
 
 
 def _two_paths(spark, d):
     """Hits of full text and vectors for the labelled questions."""
-    chunks, postings, size = _text_index(spark, d)
     q = _questions(spark, d)
+    chunks, postings, size = _text_index(spark, d, q)
     hits = fulltext.search(q, postings, size).unionByName(vectors.search(q, vectors.embed(chunks, "chunk_id", "text")))
     return q, hits
 

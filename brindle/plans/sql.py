@@ -41,7 +41,7 @@ part AS (
 ),
 ft AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS INTEGER) AS rank
-  FROM (SELECT query_id, chunk_id, -sum(s ORDER BY phrase) AS score FROM part GROUP BY query_id, chunk_id)
+  FROM (SELECT query_id, chunk_id, round(-sum(s ORDER BY phrase), 12) AS score FROM part GROUP BY query_id, chunk_id)
   QUALIFY rank <= 10
 )"""
 )
