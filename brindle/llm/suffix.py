@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.bytehash import Rolling, sliding_min
+from brindle.llm.bytehash import Rolling, mix, sliding_min
 from brindle.llm.common import NO_ID, keyed, table, unkeyed
 
 LENGTH, GRAM = 100, 50
@@ -47,7 +47,7 @@ OPEN = "h long, run binary, id long, lo long, off int"
 
 
 def _runs(ids: list[int], bases: list[int], parts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """h, s, id, lo, code of the runs in a buffer of text segments; of equal runs, all but the first have code < 0."""
+    """h, s, id, lo, code of the runs in a buffer of text segments; of equal runs, all but the first have code < 0 and are joined."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     rolling = Rolling(data)
@@ -66,8 +66,20 @@ def _runs(ids: list[int], bases: list[int], parts: list[bytes]) -> tuple[np.ndar
     code = ((hi - lo) * 128 + at - lo).astype(np.int32)
     first = np.lexsort((place, key, whole))
     again = np.concatenate([[False], (whole[first][1:] == whole[first][:-1]) & ((key[first][1:] != key[first][:-1]) | (place[first][1:] != place[first][:-1]))])
-    code[first[again]] *= -1
-    return h[at].view(np.int64), whole.view(np.int64), key, place, code
+    known = np.zeros(len(lo), bool)
+    known[first[again]] = True
+    h_out, s_out = h[at].view(np.int64), whole.view(np.int64)
+    # neighbouring runs that are known to go become one row, which goes anywhere: only its place matters from here on
+    opens = known & ~np.concatenate([[False], known[:-1] & (own[1:] == own[:-1]) & (lo[1:] == hi[:-1])])
+    rows = np.flatnonzero(opens)
+    group = np.cumsum(opens) - 1
+    windows = np.bincount(group[known], weights=(hi - lo)[known], minlength=len(rows)).astype(np.int64)
+    anywhere = mix((key[rows] * np.int64(1_000_003) + place[rows]).view(np.uint64)).view(np.int64)
+    keep = ~known
+    parts = (
+        (h_out[keep], anywhere), (s_out[keep], np.zeros(len(rows), np.int64)), (key[keep], key[rows]), (place[keep], place[rows]), (code[keep], (-windows * 128).astype(np.int32)),
+    )
+    return tuple(np.concatenate(p) for p in parts)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
