@@ -32,7 +32,7 @@ from brindle.llm.bytehash import LETTERED, SPACED, Rolling, mix, word_bounds
 from brindle.llm.common import drop, table
 
 GRADES = 3
-SAMPLE, LEAST_DOCS, STANDS_OUT = 9_000, 5, 4.5
+SAMPLE, LEAST_DOCS, STANDS_OUT = 6_000, 5, 4.5
 BITS = 20
 STEPS = (0.02, 0.05, 0.1, 0.2, 0.35, 0.6)
 TAIL = 0.2  # grades weigh alike in training, good documents are the most in fact
