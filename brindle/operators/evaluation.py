@@ -9,6 +9,9 @@ from brindle import config
 from brindle.functions import text as T
 
 SINGLES = ("vector", "fulltext", "graph")
+#: The questions' wording by category, and the verdicts.
+QUESTIONS = {"A": ("", " 是什么？"), "B": ("我想了解 ", " 相关的内容"), "C": ("", " 出现在哪些地方？"), "D": ("", " 下都讲了什么？")}
+WORSE, BETTER, SAME = "回退", "提升", "持平"
 
 
 def recall(ranked: Column, answers: Column, k: int) -> Column:
@@ -69,7 +72,7 @@ def gains(of: DataFrame, metric: str = "recall@5") -> DataFrame:
     value = lambda c: F.max(F.when(c, F.col("value")))
     rows = of.where(F.col("metric") == metric).groupBy("category").agg(value(F.col("row") == "fused").alias("fused"), value(F.col("row").isin(*SINGLES)).alias("best"))
     gain = F.col("fused") - F.col("best")
-    verdict = F.when(gain < 0, "回退").when(gain > 0, "提升").otherwise("持平")
+    verdict = F.when(gain < 0, WORSE).when(gain > 0, BETTER).otherwise(SAME)
     return rows.where("fused is not null and best is not null").select("category", "fused", "best", gain.alias("gain"), verdict.alias("verdict"))
 
 
@@ -163,21 +166,22 @@ def generate_questions(chunks: DataFrame, graph, aliases: DataFrame, neighbour:
     neighbours, D by everything under a heading path; so many of each."""
     headed = chunks.where(F.size("heading_path") > 0).withColumn("leaf", F.try_element_at("heading_path", F.lit(-1)))
     one = F.array("chunk_id").alias("answers")
-    a = headed.orderBy("chunk_id").limit(per_category).select(F.lit("A").alias("category"), F.concat("leaf", F.lit(" 是什么？")).alias("question"), one)
+    ask = lambda c, x: F.concat(F.lit(QUESTIONS[c][0]), x, F.lit(QUESTIONS[c][1])).alias("question")
+    a = headed.orderBy("chunk_id").limit(per_category).select(F.lit("A").alias("category"), ask("A", F.col("leaf")), one)
     new, changed = T.synonym(F.col("leaf"))
-    b = headed.where(changed).orderBy("chunk_id").limit(per_category).select(F.lit("B").alias("category"), F.concat(F.lit("我想了解 "), new, F.lit(" 相关的内容")).alias("question"), one)
+    b = headed.where(changed).orderBy("chunk_id").limit(per_category).select(F.lit("B").alias("category"), ask("B", new), one)
     canonical = aliases.where("alias = canonical").select(F.col("canonical").alias("entity"))
     many = graph.postings.join(canonical, "entity", "left_semi").groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= config.MIN_CHUNKS_C)
     many = many.orderBy("entity").limit(per_category).select("entity")
     around = many.join(neighbour, "entity").select("entity", F.col("neighbour").alias("of")).unionByName(many.select("entity", F.col("entity").alias("of"))).distinct()
     wide = around.join(graph.postings.select(F.col("entity").alias("of"), "chunk_id"), "of").groupBy("entity").agg(F.array_sort(F.collect_set("chunk_id")).alias("answers"))
-    c = wide.select(F.lit("C").alias("category"), F.concat("entity", F.lit(" 出现在哪些地方？")).alias("question"), "answers")
+    c = wide.select(F.lit("C").alias("category"), ask("C", F.col("entity")), "answers")
     size = F.size("heading_path")
     above = headed.where(size > 1).select(F.explode(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.slice("heading_path", F.lit(1), i))).alias("prefix")).distinct()
     above = above.orderBy("prefix").limit(per_category)
     under = headed.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.slice("heading_path", F.lit(1), i))).alias("prefix"))
     d = above.join(under, "prefix").groupBy("prefix").agg(F.array_sort(F.collect_set("chunk_id")).alias("answers"))
-    d = d.select(F.lit("D").alias("category"), F.concat(F.try_element_at("prefix", F.lit(-1)), F.lit(" 下都讲了什么？")).alias("question"), "answers")
+    d = d.select(F.lit("D").alias("category"), ask("D", F.try_element_at("prefix", F.lit(-1))), "answers")
     return a.unionByName(b).unionByName(c).unionByName(d)
 
 
@@ -210,3 +214,15 @@ def report(of: DataFrame, metric: str = "recall@5") -> str:
     rows = [f"| {r['category']} | {r['fused']:.3f} | {r['best']:.3f} | {r['gain']:+.3f} | {r['verdict']}{' (paths hardly differ)' if r['category'] in warned else ''} |" for r in table]
     head = f"| category | fused {metric} | best single | gain | verdict |\n|---|---|---|---|---|"
     return "\n".join(["# Acceptance", "", head, *rows, "", f"Accepted: {'yes' if verdict['accepted'] else 'no'}", ""])
+
+
+def ingest_report(chunks: DataFrame) -> str:
+    """What came of an ingestion, as Markdown: the counts of :func:`ingest_statistics`, tables over the cap, and whether all rows are whole."""
+    counts = {(r["measure"], r["key"]): r["n"] for r in ingest_statistics(chunks).collect()}  # a row a kind, code or state
+    size = chunks.where("kind = 'table'").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).alias("longest"), F.count_if(F.length("text") > config.MAX_CHARS).alias("over")).first()
+    lines = [f"| {m} | {k} | {n} |" for (m, k), n in sorted(counts.items())]
+    broken = counts.get(("table_rows", "broken"), 0)
+    return "\n".join(
+        ["# Ingestion", "", "| measure | key | chunks |", "|---|---|---|", *lines, "", f"Longest table chunk: {size['longest']} of {config.MAX_CHARS}; over the cap: {size['over']}.",
+         f"Table rows: {'all whole' if not broken else f'{broken} chunks with broken rows'}.", ""]
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle import config
+from brindle.functions import text as T
 from brindle.operators import fulltext, fusion, graph, vectors
 
 HITS = "query_id {}, path string, chunk_id string, rank int, score double"
@@ -82,3 +83,9 @@ def respond(result: Result, index: Index, limit: int | None = None) -> DataFrame
     """Fused rows with the chunks' metadata; ``limit`` cuts each query's list, which is otherwise up to k rows for every path."""
     rows = result.fused if limit is None else result.fused.where(F.col("rank") <= limit)
     return rows.join(index.chunks.drop("order", "idx"), "chunk_id", "left")
+
+
+def find_chunks(result: Result, index: Index, k: int = 10) -> DataFrame:
+    """(query_id, rank, line): the first k fused chunks of each query as one readable line each, for labelling by hand."""
+    rows = respond(result, index, k)
+    return rows.select("query_id", "rank", T.snippet(F.col("chunk_id"), F.coalesce("doc_id", F.lit("?")), F.col("page"), F.coalesce("text", F.lit(""))).alias("line"))

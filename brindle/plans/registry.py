@@ -189,6 +189,15 @@ def fused_search(spark, d):
     return rows.select("query_id", "chunk_id", "doc_id", "rank", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", ",").alias("sources"))
 
 
+def found_lines(spark, d):
+    """The first five full-text chunks of each query as lines for labelling."""
+    q = queries(spark, d)
+    chunks, postings, size = _text_index(spark, d, q)
+    hits = fulltext.search(q, postings, size)
+    idx = search.Index(chunks, postings, size, *[None] * 5)
+    return search.find_chunks(search.Result(hits, fusion.fuse(hits)), idx, 5)
+
+
 def fused_equal(spark, d):
     q, idx = _hits(spark, d)
     fused = search.run(spark, idx, q, paths=["fulltext", "graph"], weights=None).fused
@@ -322,7 +331,7 @@ QUERIES = {
     for f in (
         chunk_documents, over_cap, chunk_statistics, markdown_sections, markdown_elements, markdown_table_rows, table_part_sizes, document_terms, document_identifiers, lexical_queries,
         query_normal, bm25_search, bm25_phrases, vector_search, embedding_neighbours, graph_search, graph_nodes, graph_edges, graph_aliases, graph_neighbours, graph_parameters,
-        graph_expansion, question_sets, fused_search, fused_equal, routed_weights, reranked_search, evaluation_matrix, evaluation_gains, evaluation_discrimination, evaluation_accepted,
+        graph_expansion, question_sets, fused_search, found_lines, fused_equal, routed_weights, reranked_search, evaluation_matrix, evaluation_gains, evaluation_discrimination, evaluation_accepted,
         evaluation_rows, weight_search, weight_grid, rerank_comparison, event_percentiles, event_windows, label_sets, image_routing, index_tables,
     )
 }

@@ -224,6 +224,8 @@ m AS (
 SELECT * FROM m UNION SELECT query_id, neighbour FROM m JOIN near USING (entity)""",
     "fused_search": f"""{BASE}, {VECTOR}, {GRAPH}, {ROUTE}, {ALL_HITS}, w AS (SELECT * FROM hits JOIN routed USING (query_id, path)), {fuse("w", "fused")}
 SELECT query_id, chunk_id, doc_id, rank, round(rrf_score, 9) AS rrf_score, sources FROM fused JOIN chunks USING (chunk_id)""",
+    "found_lines": rf"""{BASE}, flat AS (SELECT chunk_id, doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM chunks)
+SELECT query_id, rank, chunk_id || ' · ' || doc_id || ' · p? · ' || CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || '…' ELSE t END AS line FROM ft JOIN flat USING (chunk_id) WHERE rank <= 5""",
     "fused_equal": f"""{BASE}, {GRAPH},
 w AS (SELECT query_id, 'fulltext' AS path, chunk_id, rank, 1e0 AS weight FROM ft UNION ALL SELECT query_id, 'graph', chunk_id, rank, 1e0 FROM gr), {fuse("w", "fused")}
 SELECT query_id, chunk_id, rank, round(rrf_score, 9) AS rrf_score FROM fused""",

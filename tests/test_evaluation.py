@@ -89,6 +89,12 @@ def test_question_generation(spark):
     assert len(by["C"]["MAX_POOL 出现在哪些地方？"]) == 3 and len(by["D"]["requests 模块 下都讲了什么？"]) == 3
 
 
+def test_ingest_report(spark):
+    docs = spark.createDataFrame([("a", "# T\nx\n| a |\n|---|\n| 1 |"), ("b", "![i](gone.png)")], "doc_id string, text string")
+    text = evaluation.ingest_report(chunking.chunk_elements(markdown.parse(docs, images=True)))
+    assert "| kind | table | 1 |" in text and "| image | placeholder | 1 |" in text and "all whole" in text
+
+
 def test_label_contract(spark):
     one = lambda k: spark.createDataFrame([(f"{k}{i}", "unanswerable" if i < 3 else "fact") for i in range(15)], "question string, category string")
     assert [r["ok"] for r in evaluation.qaset_contract(one("a"), one("b")).collect()] == [True, True]
