@@ -54,10 +54,11 @@ def path_hits(index: Index, queries: DataFrame, k: int, embedder: Callable, segm
 
 
 def run(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, paths: list[str] | None = None, weights: DataFrame | dict | str | None = "routed",
-        embedder: Callable = vectors.character_bag, on_error: str = "degrade", extra: dict[str, Callable[[], DataFrame]] | None = None, segment=None) -> Result:
+        embedder: Callable = vectors.character_bag, on_error: str = "degrade", extra: dict[str, Callable[[], DataFrame]] | None = None, segment=None, settle: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> Result:
     """Hits of every enabled path and their fusion. ``weights``: "routed", a table, a dict, or None for equal ones; ``extra`` adds or
     replaces paths. With ``on_error="degrade"`` a path that fails while it is planned counts as empty and is named in ``degraded``;
-    as plans are lazy, :func:`guarded` also runs each path apart and catches what only fails then."""
+    as plans are lazy, :func:`guarded` also runs each path apart and catches what only fails then. Routing and fusion both read
+    the hits, k rows a query and path at most: ``settle`` may store them, so that the paths run once."""
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
     makers = {p: m for p, m in path_hits(index, queries, k, embedder, segment).items() if p in enabled(paths)} | (extra or {})
@@ -70,6 +71,7 @@ def run(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, path
             if on_error == "raise":
                 raise
             degraded[path] = f"{type(e).__name__}: {e}"
+    hits = settle(hits)
     table = fusion.route(queries, hits) if isinstance(weights, str) else weights
     return Result(hits, fusion.fuse(hits, table), degraded)
 

@@ -23,14 +23,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * SMALL else df
 
 
-QUERY_SET = 10_000
+QUERY_SET, HIT_ROWS = 10_000, 300_000
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A query set that is asked in many places of a plan: up to QUERY_SET queries become a local table, computed once and small
-    enough to broadcast; a larger set stays a plan."""
-    rows = df.limit(QUERY_SET + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= QUERY_SET else df
+def settled(df: DataFrame, most: int = QUERY_SET) -> DataFrame:
+    """A query set or its hits, which many places of a plan read: up to ``most`` rows become a local table, computed once and
+    small enough to broadcast; a larger one stays a plan."""
+    rows = df.limit(most + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= most else df
 
 
 def plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from brindle import config, index
 from brindle.functions import text as T
 from brindle.operators import chunking, evaluation, fulltext, fusion, graph, images, markdown, search, vectors
 from brindle.plans import sql
-from brindle.plans.corpus import benchmark_queries, handbook, plain_chunks, queries, read, settled, spread
+from brindle.plans.corpus import HIT_ROWS, benchmark_queries, handbook, plain_chunks, queries, read, settled, spread
 from brindle.streaming.ingest import event_counts
 
 KS = [1, 5, 10]
@@ -174,6 +174,10 @@ def question_sets(spark, d):
 # fusion and search
 
 
+def _settle_hits(hits):
+    return settled(hits, HIT_ROWS)
+
+
 def _hits(spark, d):
     q = queries(spark, d)
     chunks, postings, size = _text_index(spark, d, q)
@@ -185,7 +189,7 @@ def _hits(spark, d):
 def fused_search(spark, d):
     """All three paths, routed weights, fusion, and the documents of the chunks."""
     q, idx = _hits(spark, d)
-    rows = search.respond(search.run(spark, idx, q), idx)
+    rows = search.respond(search.run(spark, idx, q, settle=_settle_hits), idx)
     return rows.select("query_id", "chunk_id", "doc_id", "rank", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -200,14 +204,14 @@ def found_lines(spark, d):
 
 def fused_equal(spark, d):
     q, idx = _hits(spark, d)
-    fused = search.run(spark, idx, q, paths=["fulltext", "graph"], weights=None).fused
+    fused = search.run(spark, idx, q, paths=["fulltext", "graph"], weights=None, settle=_settle_hits).fused
     return _score(fused, "rrf_score").select("query_id", "chunk_id", "rank", "rrf_score")
 
 
 def routed_weights(spark, d):
     q = queries(spark, d)
     chunks, postings, size = _text_index(spark, d, q)
-    return _score(fusion.route(q, fulltext.search(q, postings, size)), "weight")
+    return _score(fusion.route(q, _settle_hits(fulltext.search(q, postings, size))), "weight")
 
 
 def reranked_search(spark, d):
@@ -238,7 +242,7 @@ def _two_paths(spark, d):
     q = _questions(spark, d)
     chunks, postings, size = _text_index(spark, d, q)
     hits = fulltext.search(q, postings, size).unionByName(vectors.search(q, vectors.embed(chunks, "chunk_id", "text")))
-    return q, hits
+    return q, _settle_hits(hits)
 
 
 def _matrix(spark, d):
