@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import LETTERED, Rolling, mix, word_bounds
-from brindle.llm.common import NO_ID, keyed, table, unkeyed
+from brindle.llm.common import NO_ID, keyed, table, tidy, unkeyed
 
 WINDOW, MISSES, LEAST = 13, 2, 5
 MASKS = ((0, 1, 2, 3, 7, 10), (0, 1, 3, 5, 6, 7))
@@ -145,12 +145,12 @@ def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Data
     may[on] = True
     short = sorted(r["n"] for r in items.where(F.col("n").between(LEAST, WINDOW - 1)).select("n").distinct().collect())  # <= 8 values
     masks = [*MASKS, *(tuple(range(n)) for n in short)]
-    scan = keyed(docs).mapInArrow(_segments(np.packbits(may).tobytes(), masks), "id long, at long, words array<long>, h array<long>, p array<long>")
+    scan = keyed(docs).mapInArrow(tidy(_segments(np.packbits(may).tobytes(), masks)), "id long, at long, words array<long>, h array<long>, p array<long>")
     found = table(spark, scan, "segments")
     hits = found.select("id", "at", F.explode(F.arrays_zip("h", "p")).alias("s")).select("id", "at", F.col("s.h").alias("h"), F.col("s.p").alias("q"))
     pairs = hits.join(seed, "h").select("id", "at", "item", (F.col("q") - F.col("p")).alias("shift")).distinct()
     both = pairs.join(found.select("id", "at", "words").dropDuplicates(["id", "at"]), ["id", "at"]).join(items.select("item", "item_words").distinct(), "item")
-    return both.select("id", "at", "words", "item", "item_words", "shift").mapInArrow(_verify, "id long, item long, start long, stop long, matched long")
+    return both.select("id", "at", "words", "item", "item_words", "shift").mapInArrow(tidy(_verify), "id long, item long, start long, stop long, matched long")
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import SPACED, Rolling, word_bounds
+from brindle.llm.common import tidy
 
 KNOWN, HASHED, CLASSES = 767, 256, 32
 SIZE = KNOWN + HASHED + 1  # id 0 pads
@@ -168,7 +169,7 @@ def count_words(docs: DataFrame) -> np.ndarray:
             word, n = np.unique(h, return_counts=True)
             yield pd.DataFrame({"word": word.view(np.int64), "n": n})
 
-    total = docs.select(F.col("text").cast("string")).mapInPandas(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    total = docs.select(F.col("text").cast("string")).mapInPandas(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = total.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows
     return np.array([r["word"] for r in top], dtype=np.int64)
 
@@ -210,7 +211,7 @@ def train(docs: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS) -> WindowNe
             return pd.DataFrame({"block": [key[0]], "words": [words], "values": [values.tobytes()]})
 
         own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
-        parts = own.mapInPandas(fit, "block int, part int, words long, values binary")
+        parts = own.mapInPandas(tidy(fit), "block int, part int, words long, values binary")
         some = parts.groupBy("block", F.pmod("part", F.lit(LOTS)).alias("lot")).applyInPandas(merge, "block int, words long, values binary")
         done = some.groupBy("block").applyInPandas(merge, "block int, words long, values binary").orderBy("block").collect()  # BLOCKS rows
         if len(done) == BLOCKS:
@@ -234,7 +235,7 @@ def score_documents(docs: DataFrame, ranked: np.ndarray, network: WindowNetwork)
             yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_words": counts, "log_probability": total, "mean_log_probability": [None if c == 0 else m for c, m in zip(counts, mean)]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(score, "doc_id long, n_words long, log_probability double, mean_log_probability double")
+    return rows.mapInPandas(tidy(score), "doc_id long, n_words long, log_probability double, mean_log_probability double")
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import SPACED, Rolling, mix, word_bounds
-from brindle.llm.common import NO_ID, components, drop, keyed, table, unkeyed
+from brindle.llm.common import NO_ID, components, drop, keyed, table, tidy, unkeyed
 
 PERMUTATIONS, BANDS = 64, 32
 SURE = 75
@@ -186,7 +186,7 @@ def _links(spark: SparkSession, pairs: DataFrame, sets: DataFrame, percent: int)
     members = pairs.join(sizes, "centre").select("centre", "id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
     centres = sizes.select("centre", F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     rows = members.unionByName(centres).join(sets, "id").select("centre", "salt", "id", "shingles", (F.col("id") != F.col("centre")).alias("member"))
-    return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member", "id").mapInArrow(_compare(percent), "a long, b long")
+    return rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", "member", "id").mapInArrow(tidy(_compare(percent)), "a long, b long")
 
 
 _CELL = ("cell", "side", "id", "component", "n", "sig", "shingles")
@@ -243,7 +243,7 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80)
     if percent < 80:
         raise ValueError("bands and SURE are chosen for similarities of 0.8 and more")
     texts = keyed(docs)
-    marks = table(spark, texts.mapInArrow(_scan(k), "id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "marks")
+    marks = table(spark, texts.mapInArrow(tidy(_scan(k)), "id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "marks")
     copies = marks.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("first"))
     classes = table(spark, marks.where("n > 0").select("id", "f1", "f2", "n").join(copies, ["f1", "f2", "n"]).select("id", "n", "first"), "classes")
     leads = marks.where("n > 0").join(classes.where("id = first").select("id").distinct(), "id").dropDuplicates(["id"])
@@ -253,7 +253,7 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80)
     drop_later = [marks, classes, found]
     star = found.where("id <> centre").select("centre", "id").distinct()
     in_doubt = found.select("id").distinct()
-    sets = table(spark, texts.join(in_doubt, "id").dropDuplicates(["id"]).mapInArrow(_sets(k), "id long, shingles binary"), "sets")
+    sets = table(spark, texts.join(in_doubt, "id").dropDuplicates(["id"]).mapInArrow(tidy(_sets(k)), "id long, shingles binary"), "sets")
     links = table(spark, _links(spark, star, sets, percent), "links")
     first = table(spark, components(spark, links), "components")
 
@@ -276,7 +276,7 @@ def groups(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80)
     )
     cells = left.unionByName(right).select(F.xxhash64("band", "i", "j").alias("cell"), "side", "id", "component")
     cells = cells.join(leads.select("id", "n", "sig").join(sets, "id"), "id").select(*_CELL)
-    more = table(spark, cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(_across(percent), "a long, b long"), "links")
+    more = table(spark, cells.repartition("cell").sortWithinPartitions("cell", "side", "id").mapInArrow(tidy(_across(percent)), "a long, b long"), "links")
     final = table(spark, components(spark, links.unionByName(more)), "components")
     drop(spark, found, sets, first)
     where = classes.select("id", F.col("first")).join(final.withColumnsRenamed({"id": "first"}), "first", "left")

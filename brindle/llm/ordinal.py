@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import LETTERED, SPACED, Rolling, mix, word_bounds
-from brindle.llm.common import drop, table
+from brindle.llm.common import drop, release, table, tidy
 
 GRADES = 3
 SAMPLE, LEAST_DOCS, STANDS_OUT = 6_000, 5, 4.5
@@ -189,7 +189,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         grade, weight = np.nonzero(total)
         yield pd.DataFrame({"grade": grade, "weight": weight, "n": total[grade, weight]})
 
-    counted = rows.mapInPandas(count, "grade int, weight int, n long").groupBy("grade", "weight").agg(F.sum("n").alias("n"))
+    counted = rows.mapInPandas(tidy(count), "grade int, weight int, n long").groupBy("grade", "weight").agg(F.sum("n").alias("n"))
     grades = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     if len(grades) < 2:
         return None
@@ -206,7 +206,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 part = batch.iloc[at : at + len(words)]
                 yield pd.DataFrame({"id": part["id"], "grade": part["grade"], "h": [h[i:j].view(np.int64) for i, j in zip(cut, cut[1:])]})
 
-    got = rows.mapInPandas(featurize, "id long, grade int, h array<long>").toPandas().sort_values("id", kind="stable")  # <= sample rows
+    got = rows.mapInPandas(tidy(featurize), "id long, grade int, h array<long>").toPandas().sort_values("id", kind="stable")  # <= sample rows
     drop(spark, rows)
     doc = np.repeat(np.arange(len(got)), got["h"].map(len).to_numpy())
     h = np.concatenate([np.asarray(x, dtype=np.int64) for x in got["h"]]).view(np.uint64)
@@ -254,7 +254,7 @@ def grade_documents(docs: DataFrame, model: CumulativeLink | None, tail: float =
             yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": score, "expected_grade": tails.sum(1), "tail_probability": tails[:, -1], "kept": tails[:, -1] >= tail})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(rate, "doc_id long, score double, expected_grade double, tail_probability double, kept boolean")
+    return rows.mapInPandas(tidy(rate), "doc_id long, score double, expected_grade double, tail_probability double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: CumulativeLink | None, tail: float = TAIL) -> DataFrame:
@@ -265,5 +265,6 @@ def keep_good(docs: DataFrame, model: CumulativeLink | None, tail: float = TAIL)
         tails_of = start()
         for texts in series:
             yield pd.Series(tails_of(texts.tolist())[1][:, -1] >= tail)
+        release()
 
     return docs.where(F.pandas_udf(good, "boolean")(F.col("text").cast("string")))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import gapless, keyed, table, unkeyed
+from brindle.llm.common import gapless, keyed, table, tidy, unkeyed
 
 CAPACITY = 4096
 END_ID = 1
@@ -50,7 +50,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
                         out.append((key, k, s // 4, len(own) // 4, zlib.crc32(own)))
                 yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
 
-    return keyed(docs).mapInPandas(pieces, "id long, piece int, start long, length long, ids_crc32 long")
+    return keyed(docs).mapInPandas(tidy(pieces), "id long, piece int, start long, length long, ids_crc32 long")
 
 
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import Rolling, mix, sliding_min
-from brindle.llm.common import NO_ID, keyed, table, unkeyed
+from brindle.llm.common import NO_ID, keyed, table, tidy, unkeyed
 
 LENGTH, GRAM = 100, 50
 BUFFER, SEGMENT = 1 << 20, 1 << 20  # bytes hashed together; bytes of a long text taken at once
@@ -224,21 +224,21 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, lis
     """(id, spans): sorted, disjoint [start, stop) byte spans to remove, for ids that have any; and the tables that
     stand behind it."""
     texts = keyed(docs)
-    runs = texts.mapInArrow(_scan, RUNS)
-    found = table(spark, runs.repartition("h").sortWithinPartitions("h", "s", "id", "lo").mapInArrow(_sift, FOUND), "runs")
+    runs = texts.mapInArrow(tidy(_scan), RUNS)
+    found = table(spark, runs.repartition("h").sortWithinPartitions("h", "s", "id", "lo").mapInArrow(tidy(_sift), FOUND), "runs")
     windows = F.shiftright("code", 7)
     gone = found.where("settled").select("id", "lo", windows.alias("n"))
     frontier = found.where("not settled").groupBy("id").agg(F.collect_list(F.struct("h", "lo", "code")).alias("runs"))
-    open_, tables = texts.join(frontier, "id").mapInArrow(_bytes, OPEN), [found]
+    open_, tables = texts.join(frontier, "id").mapInArrow(tidy(_bytes), OPEN), [found]
     for cell in CELLS[1:]:
-        done = table(spark, open_.repartition("h").sortWithinPartitions("h", "run", "id", "lo").mapInArrow(_settle(cell), OPEN), "runs")
+        done = table(spark, open_.repartition("h").sortWithinPartitions("h", "run", "id", "lo").mapInArrow(tidy(_settle(cell)), OPEN), "runs")
         tables.append(done)
         gone = gone.unionByName(done.where("run is null").select("id", "lo", F.col("off").alias("n")))
         open_ = done.where("run is not null")
         if open_.isEmpty():
             break
     else:  # parts of one window: a group is one content, whose first stays
-        done = table(spark, open_.repartition("h").sortWithinPartitions("h", "run", "id", "lo").mapInArrow(_settle(1), OPEN), "runs")
+        done = table(spark, open_.repartition("h").sortWithinPartitions("h", "run", "id", "lo").mapInArrow(tidy(_settle(1)), OPEN), "runs")
         tables.append(done)
         gone = gone.unionByName(done.where("run is null").select("id", "lo", F.col("off").alias("n")))
     spans = F.collect_list(F.struct(F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + LENGTH).alias("b")))
@@ -276,7 +276,7 @@ def removed_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     long = pa.int64()
     fields = (("id", long), ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", pa.string()))
-    out = keyed(docs).join(spans, "id", "left").mapInArrow(digest, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = keyed(docs).join(spans, "id", "left").mapInArrow(tidy(digest), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(unkeyed().alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -17,7 +17,7 @@ import numpy as np
 
 #: Printable ASCII, tab, newline, return, and Latin-1/Latin Extended letters except those whose lower case is longer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u012f\u0131-\u024f]*\Z")
-CACHE = 600_000
+CACHE = 300_000
 
 
 def _class(kind: str) -> str:
