@@ -4,8 +4,11 @@ A bidirectional window network predicts every word from the two words on either
 vectors (one table per place) are added and squashed, and a two-level softmax gives the word's class and its place in the class.
 A document's score is the sum of the conditional log-probabilities of all its words; the mean makes lengths comparable.
 
-Vocabulary: the ``KNOWN`` most frequent words, counted over all documents; other words share ``HASHED`` hashed ids. Ids are dealt by
-rank over ``CLASSES`` classes, so that all classes hold about as many occurrences.
+Vocabulary: all words are counted over all documents and none is capped. The ``KNOWN`` most frequent have ids of their own; the others
+are dealt by hash over ``HASHED`` buckets, and the network predicts the bucket. Ids are dealt by rank over ``CLASSES`` classes, so that
+all classes hold about as many occurrences. A word's probability within its bucket is its share of the bucket's occurrences, with
+``UNSEEN`` of an occurrence for words that weren't counted, so each word has a conditional probability of its own. The counts are a table
+of any size: the words of the documents are joined with it and their log shares summed by document. As a neighbour, a word stands for its bucket.
 
 Training (numpy, float32): documents are dealt by hash over ``ROUNDS`` rounds. In each, every partition runs Adagrad over its words
 from the round's common start, and the results are averaged by words seen, block by block in two levels, so that no task holds
@@ -24,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import SPACED, Rolling, word_bounds
-from brindle.llm.common import tidy
+from brindle.llm.common import table, tidy
 
 KNOWN, HASHED, CLASSES = 767, 256, 32
 SIZE = KNOWN + HASHED + 1  # id 0 pads
@@ -37,6 +40,7 @@ WIDTH, SIDES = 16, (-2, -1, 1, 2)
 ROUNDS, STEP, RATE = 3, 4096, 0.2
 BUFFER = 1 << 20
 BLOCKS, LOTS = 16, 256
+UNSEEN = 0.5
 
 
 def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,19 +165,28 @@ def _words(batches: Iterator[pd.DataFrame], column: str = "text") -> Iterator[tu
                 at, held = k + 1, 0
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """The hashes of the KNOWN most frequent words of the whole corpus, by rank."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): every word of the corpus by its hash, with its count."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, h, _ in _words(batches):
             word, n = np.unique(h, return_counts=True)
             yield pd.DataFrame({"word": word.view(np.int64), "n": n})
 
-    total = docs.select(F.col("text").cast("string")).mapInPandas(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = total.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows
+    return docs.select(F.col("text").cast("string")).mapInPandas(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame) -> np.ndarray:
+    """The hashes of the KNOWN most frequent words, by rank."""
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows
     return np.array([r["word"] for r in top], dtype=np.int64)
 
 
+def count_words(docs: DataFrame) -> np.ndarray:
+    """The hashes of the KNOWN most frequent words of the whole corpus, by rank."""
+    return most_frequent(word_counts(docs))
+
+
 def _average(parts: pd.DataFrame) -> tuple[np.ndarray, int]:
     words = parts["words"].to_numpy()
     total = np.zeros(len(parts["values"].iloc[0]) // 4)
@@ -219,8 +232,40 @@ def train(docs: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS) -> WindowNe
     return network
 
 
-def score_documents(docs: DataFrame, ranked: np.ndarray, network: WindowNetwork) -> DataFrame:
-    """doc_id, n_words, log_probability (sum), mean_log_probability."""
+def _bucket(word: str = "word") -> Column:
+    """Of a word's hash, as in :class:`Vocabulary`."""
+    return F.pmod(F.shiftrightunsigned(word, 20), F.lit(HASHED)).cast("int")
+
+
+def word_shares(docs: DataFrame, ranked: np.ndarray, counts: DataFrame) -> DataFrame:
+    """(key, share): the sum of the log shares that a document's words have in their buckets, for each ``key`` of ``docs(key, text)``
+    with such words, over all rows of the key. Words of ``ranked`` have no bucket, so no word in the join is a frequent one."""
+
+    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary = Vocabulary(ranked)
+        for part, h, counts in _words(batches):
+            at = np.flatnonzero(vocabulary.ids(h) > KNOWN)
+            word, doc = h[at].view(np.int64), np.repeat(np.arange(len(counts)), counts)[at]
+            order = np.lexsort((word, doc))
+            word, doc = word[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])[: len(word)])
+            times = np.diff(np.append(first, len(word))).astype(np.int32)
+            yield pd.DataFrame({"key": part["key"].to_numpy()[doc[first]], "word": word[first], "times": times})
+
+    others = counts.where(~F.col("word").isin(ranked.tolist())) if len(ranked) else counts
+    sizes = [0] * HASHED
+    for r in others.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect():  # HASHED rows
+        sizes[r["bucket"]] = r["n"]
+    whole = F.element_at(F.array(*[F.lit(math.log(n + UNSEEN)) for n in sizes]), _bucket() + 1)
+    pairs = docs.mapInPandas(tidy(rare), "key long, word long, times int")
+    each = pairs.join(others.hint("shuffle_hash"), "word", "left")
+    log_share = F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))) - whole
+    return each.groupBy("key").agg(F.sum(F.col("times") * log_share).alias("share"))
+
+
+def score_documents(docs: DataFrame, ranked: np.ndarray, network: WindowNetwork, counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, log_probability (sum), mean_log_probability. ``counts`` are those of :func:`word_counts`, of ``docs`` themselves
+    if none are given."""
     flat = network.flat
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,14 +276,20 @@ def score_documents(docs: DataFrame, ranked: np.ndarray, network: WindowNetwork)
             each = [own.log_probabilities(near[:, a : a + 4 * STEP], ids[a : a + 4 * STEP]) for a in range(0, len(ids), 4 * STEP)]
             doc = np.repeat(np.arange(len(counts)), counts)
             total = np.bincount(doc, weights=np.concatenate(each) if each else None, minlength=len(counts)).astype(float)
-            mean = pd.array(np.where(counts > 0, total / np.maximum(counts, 1), np.nan))
-            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_words": counts, "log_probability": total, "mean_log_probability": [None if c == 0 else m for c, m in zip(counts, mean)]})
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": part["key"].to_numpy(), "n_words": counts, "known": total})
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(tidy(score), "doc_id long, n_words long, log_probability double, mean_log_probability double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+    shares = word_shares(rows.select("key", "text"), ranked, word_counts(docs) if counts is None else counts)
+    scored = rows.mapInPandas(tidy(score), "doc_id long, key long, n_words long, known double").join(shares, "key", "left")
+    copies = F.count("*").over(Window.partitionBy("key"))  # repeated rows have one key
+    total = F.col("known") + F.coalesce(F.col("share") / copies, F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
+    return scored.select("doc_id", "n_words", total.alias("log_probability")).withColumn("mean_log_probability", mean)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Counts words, trains and scores on all of ``docs``."""
-    ranked = count_words(docs)
-    return score_documents(docs, ranked, train(docs, ranked))
+    counts = table(docs.sparkSession, word_counts(docs), "words")
+    ranked = most_frequent(counts)
+    return score_documents(docs, ranked, train(docs, ranked), counts)

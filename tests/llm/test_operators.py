@@ -313,6 +313,36 @@ def test_scores_tell_language_from_shuffles(spark):
     assert lmscore.pseudo_likelihood(docs(spark, [])).count() == 0
 
 
+def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "KNOWN", 2)
+    rows = [(i, "the of " + "common " * 8) for i in range(5)] + [(5, "the of rare"), (5, "the of rare"), (None, "the of rare rare typo"), (7, None)]
+    d = docs(spark, rows, extra=True)
+    counts = lmscore.word_counts(d)
+    n = {"common": 40, "rare": 4, "typo": 1}
+    h = dict(zip(["the", "of", *n], lmscore.hashes(["the of " + " ".join(n)])[0].view(np.int64).tolist()))
+    assert {r["word"]: r["n"] for r in counts.collect()} == {h["the"]: 8, h["of"]: 8, **{h[w]: k for w, k in n.items()}}
+    monkeypatch.setattr(lmscore, "_bucket", lambda word="word": F.lit(3))  # one bucket for all
+    ranked = np.array([h["the"], h["of"]])
+    asked = docs(spark, rows + [(9, "the rare"), (10, "the qwzx")]).withColumn("key", F.coalesce("doc_id", F.lit(-1)).cast("long")).select("key", "text")
+    got = {r["key"]: r["share"] for r in lmscore.word_shares(asked, ranked, counts).collect()}
+    share = {w: np.log(k / 45.5) for w, k in {**n, "qwzx": 0.5}.items()}
+    want = {**{i: 8 * share["common"] for i in range(5)}, 5: 2 * share["rare"], -1: 2 * share["rare"] + share["typo"], 9: share["rare"], 10: share["qwzx"]}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_words_of_one_bucket_are_told_apart(spark):
+    known = [f"k{i}" for i in range(lmscore.KNOWN)]
+    buckets = {}
+    for w in (f"x{i}" for i in range(400)):
+        buckets.setdefault(int(lmscore.hashes([w])[0][0] >> np.uint64(20)) % lmscore.HASHED, []).append(w)
+    often, once = next(v for v in buckets.values() if len(v) > 1)[:2]
+    rows = [(i, " ".join(known)) for i in range(20)] + [(100 + i, often) for i in range(9)] + [(200, once), (300, None), (301, ""), (200, once)]
+    out = lmscore.pseudo_likelihood(docs(spark, rows, extra=True)).collect()
+    got = {r["doc_id"]: r["log_probability"] for r in out}
+    assert len(out) == len(rows) and got[100] - got[200] == pytest.approx(np.log(9 / 2)) and got[300] == got[301] == 0
+    assert len({r["log_probability"] for r in out if r["doc_id"] == 200}) == 1
+
+
 # 7. near duplicates
 
 
