@@ -1,13 +1,16 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Rule: a document is contaminated by a benchmark item if some ``WINDOW`` (13) successive words of the item stand in the
-document, in place and order, with at most ``MISSES`` (2) of them replaced. Items of fewer words (but at least
-``LEAST``) must stand there whole and unchanged; still shorter ones can't be told from chance and are not searched.
-Words are runs of letters, digits and non-ASCII characters of the lower-cased text, compared by 64-bit hashes.
+document, in place and order, with at most ``MISSES`` (2) of them replaced. With ``every``, as the registered query and the
+pipeline have it, items of fewer words must stand there whole, with as large a share of them replaced at most: one of 7 to 12
+words, none of 1 to 6. Without it they must stand unchanged, and items below ``LEAST`` words are not searched.
+Words are runs of letters, digits and marks of the lower-cased text, compared by 64-bit hashes; punctuation, symbols and spaces
+of any script part them, and a character of a script without spaces (``_ALONE``) is a word.
 
 Method: a seed is the hash of the words at a mask's positions; the words between are ignored. For any two replaced words
 in a window of 13, one of ``MASKS`` fits somewhere without touching either (checked in the tests for all 78 pairs), so
-joining test seeds with training seeds misses nothing. Each hit is then verified word by word around its place.
+joining test seeds with training seeds misses nothing. An item of 7 to 12 words has seeds of half its words: one replaced word leaves
+the first or the last half as it was. A shorter one is a seed. Each hit is then verified word by word around its place.
 
 The documents are scanned once. A fixed-size table of seed bits (2 MB whatever the benchmark's size) lets a scan keep
 only places that may match, as segments with 12 words around, and only these are shuffled for the equi-join of the seeds.
@@ -19,6 +22,8 @@ kept by :func:`clean_documents` and not read otherwise.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +41,46 @@ BUFFER = 1 << 20
 AROUND = WINDOW - 1
 
 
+#: Scripts without spaces: Thai and Lao, Myanmar, Khmer, kana, Han.
+_ALONE = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3041, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+_KIND = np.zeros(sys.maxunicode + 1, np.uint8)  # 1 parts words, 2 is a word
+for _a, _b in _ALONE:
+    _KIND[_a : _b + 1] = 2
+for _c in range(0x80, 0x20000):  # no such characters beyond
+    if unicodedata.category(chr(_c)) in ("Cc", "Pc", "Pd", "Pe", "Pf", "Pi", "Po", "Ps", "Sc", "Sk", "Sm", "So", "Zl", "Zp", "Zs"):
+        _KIND[_c] = 1
+
+
+def prepared(text: str) -> bytes:
+    """Lower-cased bytes in which runs of letters, digits and non-ASCII characters are the words."""
+    text = text.lower()
+    if text.isascii():
+        return text.encode()
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _KIND[code]
+    if not kind.any():
+        return text.encode()
+    code = np.where(kind == 1, np.uint32(0x20), code)
+    alone = np.flatnonzero(kind == 2)
+    return np.insert(code, np.concatenate([alone, alone + 1]), 0x20).tobytes().decode("utf-32-le").encode()
+
+
+def tolerance(n: int, every: bool) -> int:
+    """How many words of a window of n may be replaced."""
+    return n * MISSES // WINDOW if every or n >= WINDOW else 0
+
+
+def masks_of(n: int, every: bool) -> tuple[tuple[int, ...], ...]:
+    """The masks for items of n words."""
+    if n >= WINDOW:
+        return MASKS
+    if n < (1 if every else LEAST):
+        return ()
+    return (tuple(range(n // (tolerance(n, every) + 1))),)
+
+
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The word hashes of all texts one after another, and how many words each text has."""
+    """The word hashes of all :func:`prepared` texts one after another, and how many words each text has."""
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     start, stop = word_bounds(data, LETTERED)
     ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
@@ -64,16 +107,18 @@ def _lists(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Recor
 _L = pa.list_(pa.int64())
 
 
-def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """item, its words, its seeds with their places."""
-    for batch in batches:
-        out = []
-        for item, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-            w, _ = words([text.lower().encode()])
-            masks = MASKS if len(w) >= WINDOW else (tuple(range(len(w))),) if len(w) >= LEAST else ()
-            found = [(h, p) for m in masks for p, h in enumerate(seeds(w, m).view(np.int64).tolist())]
-            out.append((item, w.view(np.int64), [h for h, _ in found], [p for _, p in found], len(w)))
-        yield _lists(out, [("item", pa.int64()), ("item_words", _L), ("h", _L), ("p", _L), ("n", pa.int64())])
+def _item_rows(every: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """item, its words, its seeds with their places."""
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
+                w, _ = words([prepared(text)])
+                found = [(h, p) for m in masks_of(len(w), every) for p, h in enumerate(seeds(w, m).view(np.int64).tolist())]
+                out.append((item, w.view(np.int64), [h for h, _ in found], [p for _, p in found], len(w)))
+            yield _lists(out, [("item", pa.int64()), ("item_words", _L), ("h", _L), ("p", _L), ("n", pa.int64())])
+
+    return rows
 
 
 def _segments(bits: bytes, masks: list[tuple[int, ...]]):
@@ -106,7 +151,7 @@ def _segments(bits: bytes, masks: list[tuple[int, ...]]):
         ids, texts, held = [], [], 0
         for batch in batches:
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids.append(key), texts.append(text.lower().encode())
+                ids.append(key), texts.append(prepared(text))
                 held += len(texts[-1])
                 if held >= BUFFER:
                     yield found(ids, texts)
@@ -117,45 +162,48 @@ def _segments(bits: bytes, masks: list[tuple[int, ...]]):
     return scan
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, at, words, item, item_words, shift): the overlaps that hold, as [start, stop) words of the document."""
-    for batch in batches:
-        out = []
-        cols = [batch.column(c).to_pylist() for c in ("id", "at", "item", "shift")]
-        for key, at, item, shift, a, b in zip(*cols, batch.column("words"), batch.column("item_words")):
-            a, b = np.asarray(a.values), np.asarray(b.values)
-            lo, hi = max(0, shift), min(len(a), shift + len(b))  # shift: where the item's first word falls in the segment
-            size = min(WINDOW, len(b))
-            if hi - lo < size:
-                continue
-            same = np.concatenate([[0], np.cumsum(a[lo:hi] == b[lo - shift : hi - shift])])
-            need = WINDOW - MISSES if len(b) >= WINDOW else len(b)
-            good = np.flatnonzero(same[size:] - same[:-size] >= need)
-            if len(good):
-                out.append((key, item, at + lo + int(good[0]), at + lo + int(good[-1]) + size, int(same[good[-1] + size] - same[good[0]])))
-        yield _lists(out, [("id", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("matched", pa.int64())])
-
-
-def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _verify(every: bool):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of (id, at, words, item, item_words, shift): the overlaps that hold, as [start, stop) words of the document."""
+        for batch in batches:
+            out = []
+            cols = [batch.column(c).to_pylist() for c in ("id", "at", "item", "shift")]
+            for key, at, item, shift, a, b in zip(*cols, batch.column("words"), batch.column("item_words")):
+                a, b = np.asarray(a.values), np.asarray(b.values)
+                lo, hi = max(0, shift), min(len(a), shift + len(b))  # shift: where the item's first word falls in the segment
+                size = min(WINDOW, len(b))
+                if hi - lo < size:
+                    continue
+                same = np.concatenate([[0], np.cumsum(a[lo:hi] == b[lo - shift : hi - shift])])
+                need = size - tolerance(size, every)
+                good = np.flatnonzero(same[size:] - same[:-size] >= need)
+                if len(good):
+                    out.append((key, item, at + lo + int(good[0]), at + lo + int(good[-1]) + size, int(same[good[-1] + size] - same[good[0]])))
+            yield _lists(out, [("id", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("matched", pa.int64())])
+
+    return verify
+
+
+def overlaps(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """(id, item, start, stop, matched): verified overlaps, places in words of the document."""
-    items = table(spark, keyed(benchmark, "item_id").mapInArrow(_item_rows, "item long, item_words array<long>, h array<long>, p array<long>, n long"), "items")
+    items = table(spark, keyed(benchmark, "item_id").mapInArrow(_item_rows(every), "item long, item_words array<long>, h array<long>, p array<long>, n long"), "items")
     seed = items.select("item", F.explode(F.arrays_zip("h", "p")).alias("s")).select("item", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
     on = seed.select(F.shiftrightunsigned("h", 64 - BITS).cast("int").alias("bit")).distinct().toPandas()["bit"].to_numpy()  # < 2^BITS whatever the benchmark
     may = np.zeros(1 << BITS, bool)
     may[on] = True
-    short = sorted(r["n"] for r in items.where(F.col("n").between(LEAST, WINDOW - 1)).select("n").distinct().collect())  # <= 8 values
-    masks = [*MASKS, *(tuple(range(n)) for n in short)]
+    short = sorted(r["n"] for r in items.where(F.col("n").between(1, WINDOW - 1)).select("n").distinct().collect())  # < WINDOW values
+    masks = list(dict.fromkeys([*MASKS, *(m for n in short for m in masks_of(n, every))]))
     scan = keyed(docs).mapInArrow(tidy(_segments(np.packbits(may).tobytes(), masks)), "id long, at long, words array<long>, h array<long>, p array<long>")
     found = table(spark, scan, "segments")
     hits = found.select("id", "at", F.explode(F.arrays_zip("h", "p")).alias("s")).select("id", "at", F.col("s.h").alias("h"), F.col("s.p").alias("q"))
     pairs = hits.join(seed, "h").select("id", "at", "item", (F.col("q") - F.col("p")).alias("shift")).distinct()
     both = pairs.join(found.select("id", "at", "words").dropDuplicates(["id", "at"]), ["id", "at"]).join(items.select("item", "item_words").distinct(), "item")
-    return both.select("id", "at", "words", "item", "item_words", "shift").mapInArrow(tidy(_verify), "id long, item long, start long, stop long, matched long")
+    return both.select("id", "at", "words", "item", "item_words", "shift").mapInArrow(tidy(_verify(every)), "id long, item long, start long, stop long, matched long")
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_items, item_ids (sorted), n_words (of the longest overlap), kept."""
-    by_doc = overlaps(spark, docs, benchmark).groupBy("id").agg(
+    by_doc = overlaps(spark, docs, benchmark, every).groupBy("id").agg(
         F.array_sort(F.collect_set(unkeyed("item"))).alias("item_ids"), F.count_distinct("item").alias("n_items"), F.max(F.col("stop") - F.col("start")).alias("n_words")
     )
     out = keyed(docs).select("id").join(by_doc, "id", "left")
@@ -166,7 +214,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     )
 
 
-def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, every: bool = False) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    bad = overlaps(spark, docs, benchmark).select(F.col("id").alias("_bad")).distinct()
+    bad = overlaps(spark, docs, benchmark, every).select(F.col("id").alias("_bad")).distinct()
     return docs.join(bad, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == bad["_bad"], "left_anti")

@@ -52,7 +52,7 @@ def op7_minmax_near_duplicates(spark, sf_dir):
 def op8_spaced_seed_decontamination(spark, sf_dir):
     from brindle.llm.decontaminate import contamination
 
-    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), every=True)
 
 
 def op9_dominance_packing(spark, sf_dir):

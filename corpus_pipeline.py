@@ -31,7 +31,7 @@ def repeated_strings(spark, docs, sf_dir):
 
 
 def decontamination(spark, docs, sf_dir):
-    return decontaminate.clean_documents(spark, docs, read(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(spark, docs, read(spark, sf_dir, "benchmark"), every=True)
 
 
 def pack(spark, docs, sf_dir):

@@ -397,6 +397,41 @@ def test_contamination_equals_brute_force(spark):
     assert decontaminate.contamination(spark, docs(spark, []), bench).count() == 0
 
 
+def test_items_of_every_length_are_searched(spark):
+    rnd = random.Random(8)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)] + [(50, "水の沸点は何度ですか？"), (51, "中国"), (52, "¿Qué «color» tiene—hoy?"), (53, "？！"), (54, None)]
+    rows, want = [], {}
+
+    def put(text, *found):
+        rows.append((len(rows), text))
+        want[len(rows) - 1] = sorted(found)
+
+    for n in range(1, 14):
+        w, allowed = items[n - 1][1].split(), 2 if n == 13 else int(n >= 7)
+        for gone in range(min(n, 3) + 1):
+            for places in itertools.islice(itertools.combinations(rnd.sample(range(n), n), gone), 6):
+                out = ["zz" if k in places else x for k, x in enumerate(w)]
+                put(" ".join(["aa", *out, "bb"]), *([n] if gone <= allowed else []))
+    put("答えは水の沸点は何度ですか。", 50), put("問：水の融点は何度ですか", 50), put("水の温度は何度ですか"), put("在中国。", 51), put("中 和 国")
+    put("dice: qué color tiene hoy", 52), put("qué flor tiene hoy"), put("？！"), put(None), put("")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = table_of(decontaminate.contamination(spark, docs(spark, rows, extra=True), bench, every=True))
+    assert {k: r["item_ids"] for k, r in got.items()} == want
+    kept = decontaminate.clean_documents(spark, docs(spark, rows, extra=True), bench, every=True)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, v in want.items() if not v)
+
+
+def test_query_and_pipeline_search_every_item(spark, tmp_path):
+    import corpus_pipeline
+
+    d = docs(spark, [(1, "so what is two plus two then"), (2, "nothing of it")])
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "Two plus two?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = table_of(queries.QUERIES["op8_spaced_seed_decontamination"](spark, str(tmp_path)))
+    assert (got[1]["item_ids"], got[2]["item_ids"]) == ([7], [])
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, d, str(tmp_path)).collect()] == [2]
+
+
 # 9. packing
 
 
