@@ -6,7 +6,9 @@ open; void elements have no content; script, style and similar elements are read
 doctypes and stray markup go.
 
 Visibility: ``head``, scripts, styles, templates, closed dialogs, form values, elements with ``hidden``, and those with an inline
-style of ``display: none`` or ``visibility: hidden`` show nothing.
+style of ``display: none`` or ``visibility: hidden`` show nothing. Formulas are shown in their line, with ``/``, ``^`` and ``_`` between the
+parts of fractions and scripts; each ``text`` of a drawing is a line, its title, description and definitions are not shown. A drop-down
+shows the choice that is selected, or its first; a list box shows all of its options and their groups' labels.
 
 Layout: white space collapses except in ``pre`` and ``textarea``; blocks start a line; paragraphs, headings, lists, tables and the
 like are set off by an empty line; list items get a bullet or their number and hang at their depth; the cells of a
@@ -34,9 +36,19 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas svg math datalist select option optgroup param".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param".split())
 BLOCKS = frozenset("address article aside body center details dialog dir div dd dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
+#: Not shown inside of a drawing or a formula.
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+#: What stands between the parts of a formula's element.
+BETWEEN = {"mfrac": "/", "msup": "^", "mover": "^", "msub": "_", "munder": "_", "msubsup": "_^", "munderover": "_^"}
+_TOKENS = frozenset("mi mn mo ms mtext".split())
+#: HTML that ends an open drawing or formula, and elements beyond which it doesn't.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_FOREIGN = frozenset(("svg", "math"))
+_WITHIN = frozenset("foreignobject desc title annotation-xml".split()) | _TOKENS
+_SELF_CLOSED = re.compile(r"(?:\A|[\s\"'])/\s*\Z")
 CLOSES_P = (BLOCKS | SPACED) - {"tr", "caption", "html", "body"}
 _CELLS = frozenset(("td", "th"))
 _PARTS = frozenset(("thead", "tbody", "tfoot"))
@@ -46,6 +58,8 @@ IMPLIED_END = {
     "dt": (frozenset(("dt", "dd")), frozenset(("dl", "table"))), "dd": (frozenset(("dt", "dd")), frozenset(("dl", "table"))),
     "td": (_CELLS, frozenset(("tr", "table"))), "th": (_CELLS, frozenset(("tr", "table"))),
     "tr": (frozenset(("tr",)), frozenset(("table",))), "caption": (frozenset(("caption",)), frozenset(("table",))),
+    "option": (frozenset(("option",)), frozenset(("select", "datalist"))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select", "datalist"))),
+    "select": (frozenset(("select",)), frozenset()), "input": (frozenset(("select",)), frozenset()), "textarea": (frozenset(("select",)), frozenset()),
     "thead": (_PARTS | {"tr"}, frozenset(("table",))), "tbody": (_PARTS | {"tr", "caption"}, frozenset(("table",))), "tfoot": (_PARTS | {"tr"}, frozenset(("table",))),
 }
 IMPLIED_OPEN = {"td": ("tr", frozenset(("tr",))), "th": ("tr", frozenset(("tr",)))}
@@ -134,6 +148,9 @@ def build(html: str) -> Node:
                 if stack[k].tag == tag:
                     close(k)
             continue
+        foreign = names.get("svg") or names.get("math")
+        if foreign and tag in BREAKS_OUT:
+            end_up_to(_FOREIGN, _WITHIN)
         if tag in CLOSES_P and names.get("p"):
             end_up_to(paragraph, P_LIMITS)
         if tag in IMPLIED_END:
@@ -143,7 +160,9 @@ def build(html: str) -> Node:
             if stack[-1].tag not in enough:
                 open_(parent, "")
         node = open_(tag, m[4] or "")
-        if tag in RAW:
+        if (foreign or tag in _FOREIGN) and tag not in VOID and _SELF_CLOSED.search(node.attributes):
+            close(len(stack) - 1)
+        elif tag in RAW:
             if lower is None:
                 lower = html.lower() if len(html.lower()) == len(html) else html
             stop = lower.find(f"</{tag}", at)
@@ -247,9 +266,51 @@ def _span(node: Node, name: str, most: int) -> int:
     return min(most, max(1, int(value))) if value and value.strip().isdigit() and len(value) < 9 else 1
 
 
+def _text(node: Node) -> str:
+    """The seen text of an option, in one line."""
+    out, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out.append(at)
+        elif at.seen():
+            todo.extend(reversed(at.children))
+    return _SPACE.sub(" ", "".join(out)).strip(" ")
+
+
+def choices(select: Node) -> tuple[bool, list[str]]:
+    """Whether a select is a list box, and the lines it shows."""
+    size = (select.get("size") or "").strip()
+    box = select.get("multiple") is not None or size.isdigit() and int(size[:9]) > 1
+    lines, chosen, first = [], None, None
+    todo = [(c, False) for c in reversed(select.children)]
+    while todo:
+        node, off = todo.pop()
+        if isinstance(node, str) or not node.seen():
+            continue
+        off = off or node.get("disabled") is not None
+        if node.tag == "option":
+            lines.append(node.get("label") or _text(node))
+            if node.get("selected") is not None:
+                chosen = lines[-1]
+            if first is None and not off:
+                first = lines[-1]
+            continue
+        if node.tag == "optgroup":
+            lines.append(node.get("label") or "")
+        todo.extend((c, off and node.tag == "optgroup") for c in reversed(node.children))
+    return box, [x for x in (lines if box else [chosen if chosen is not None else first]) if x]
+
+
+def _operand(node: Node | str) -> list[Node | str]:
+    """A part of a formula, in parentheses if it is a row of several."""
+    several = isinstance(node, Node) and node.tag == "mrow" and sum(isinstance(c, Node) for c in node.children) > 1
+    return ["(", node, ")"] if several else [node]
+
+
 def render(root: Node) -> str:
     """The visible text of a tree."""
-    flow, pre = Flow(), 0
+    flow, pre, drawn, formulas = Flow(), 0, 0, 0
     lists: list[list] = []  # [ordered, next number]
     tables: list[list] = []  # [rows, flow around]
     todo: list[tuple[Node | str, bool]] = [(root, True)]
@@ -266,8 +327,29 @@ def render(root: Node) -> str:
                 elif flow.lines:
                     flow.gap = 2
                 continue
-            if not node.seen() or tag == "input":
+            if not node.seen() or tag == "input" or (drawn or formulas) and tag in UNDRAWN:
+                continue
+            if drawn and (node.get("display") == "none" or node.get("visibility") in ("hidden", "collapse")):
+                continue
+            if tag == "select":
+                box, shown = choices(node)
+                for line in shown:
+                    if box:
+                        flow.want(1)
+                    flow.text(line if box else f" {line} ")
+                if box:
+                    flow.want(1)
                 continue
+            if tag == "svg":
+                drawn += 1
+            elif tag == "math":
+                formulas += 1
+                if node.get("display") == "block":
+                    flow.want(1)
+            if drawn and tag == "text" or formulas and tag == "mtr" or tag in ("option", "optgroup"):
+                flow.want(1)
+            elif formulas and tag == "mtd":
+                flow.text(" ")
             if tag in ("td", "th") and tables:
                 tables[-1][1].append(flow)
                 flow = Flow()
@@ -294,9 +376,23 @@ def render(root: Node) -> str:
                 flow.indent += 2
             elif tag in ("pre", "textarea", "xmp"):
                 pre += 1
+            children = node.children
+            if formulas and tag not in _TOKENS:  # white space between a formula's elements isn't shown
+                children = [c for c in children if not isinstance(c, str) or c.strip(" \t\n\r\f")]
+                if tag in BETWEEN:
+                    marks = BETWEEN[tag]
+                    children = [x for k, c in enumerate(children) for x in ([marks[k - 1]] if 0 < k <= len(marks) else []) + _operand(c)]
             todo.append((node, False))
-            todo.extend((c, True) for c in reversed(node.children))
+            todo.extend((c, True) for c in reversed(children))
             continue
+        if drawn and tag == "text" or formulas and tag == "mtr" or tag in ("option", "optgroup"):
+            flow.want(1)
+        if tag == "svg":
+            drawn -= 1
+        elif tag == "math":
+            formulas -= 1
+            if node.get("display") == "block":
+                flow.want(1)
         if tag in ("td", "th") and tables and tables[-1][1]:
             lines = flow.done()
             flow = tables[-1][1].pop()

@@ -533,6 +533,25 @@ def test_html(html, text):
     assert htmltext.visible_text(html) == text
 
 
+SHOWN = [
+    ("<p>so <math><mi>x</mi> <mo>=</mo> <mfrac><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><mn>2</mn></mfrac></math> holds", "so x=(a+1)/2 holds"),
+    ("<math><semantics><msup><mi>c</mi><mn>2</mn></msup><annotation>c^{2}</annotation></semantics></math>", "c^2"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd></mtr></mtable></math>", "1 2\n3"),
+    ("a<svg><title>t</title><desc>d</desc><defs><text>no</text></defs><style>s</style><path d='x'/><text x='1'>North <tspan>5</tspan></text><text>South</text></svg>b", "a\nNorth 5\nSouth\nb"),
+    ("<svg><defs/><g><text>label</text><text display='none'>no</text></g></svg>", "label"), ("<svg><defs><path><p>after", "after"),
+    ("<svg><foreignObject><div>in</div></foreignObject></svg>", "in"),
+    ("Size<select name=s><option>S<option selected>M<option>L</select>now", "Size M now"), ("<select><option disabled>pick<option>one<option>two</select>", "one"),
+    ("x<select multiple><optgroup label='Fruit'><option>fig<option>pear<optgroup label='Nut'><option label='oak nut'>o</select>y", "x\nFruit\nfig\npear\nNut\noak nut\ny"),
+    ("<select size=3><option>a<option hidden>b<option>c</select>", "a\nc"), ("<datalist><option>a</datalist>x", "x"), ("<select><option>a<input>x", "a x"),
+    ("<svg style='display:none'><text>no</text></svg>x", "x"),
+]
+
+
+@pytest.mark.parametrize("html, text", SHOWN)
+def test_formulas_drawings_and_choices_are_shown(html, text):
+    assert htmltext.visible_text(html) == text
+
+
 def test_html_never_recurses_or_fails():
     assert htmltext.visible_text("<div>" * 30_000 + "deep") == "deep" and htmltext.visible_text(None) is None
     rnd = random.Random(1)
