@@ -66,5 +66,12 @@ def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("source", "name").select(F.col("source").alias("query_id"), F.concat(F.lit("where is "), "name").alias("query"))
 
 
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the whole text of each benchmark item, and of each document whose id is divisible by 100."""
+    items = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
+    documents = read(spark, sf_dir, "documents").where("doc_id % 100 = 0")
+    return settled(items.unionByName(documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("query_id"), F.col("text").alias("query"))))
+
+
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(benchmark_queries(spark, sf_dir).unionByName(name_queries(spark, sf_dir)))

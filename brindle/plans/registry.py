@@ -8,7 +8,7 @@ from brindle import config, index
 from brindle.functions import text as T
 from brindle.operators import chunking, evaluation, fulltext, fusion, graph, images, markdown, search, vectors
 from brindle.plans import sql
-from brindle.plans.corpus import HIT_ROWS, benchmark_queries, handbook, plain_chunks, queries, read, settled, spread
+from brindle.plans.corpus import HIT_ROWS, benchmark_queries, handbook, plain_chunks, queries, read, settled, spread, whole_queries
 from brindle.streaming.ingest import event_counts
 
 KS = [1, 5, 10]
@@ -100,6 +100,13 @@ def bm25_search(spark, d):
     return _score(fulltext.search(q, postings, size)).drop("path")
 
 
+def bm25_whole_texts(spark, d):
+    """As ``bm25_search``, by whole texts in place of their first five words."""
+    q = whole_queries(spark, d)
+    _, postings, size = _text_index(spark, d, q)
+    return _score(fulltext.search(q, postings, size)).drop("path")
+
+
 def bm25_phrases(spark, d):
     """Chunks that hold the first five words of a benchmark item in a row: one token with dots is a phrase."""
     q = settled(benchmark_queries(spark, d).withColumn("query", F.array_join(T.terms(F.col("query")), ".")))
@@ -334,7 +341,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, over_cap, chunk_statistics, markdown_sections, markdown_elements, markdown_table_rows, table_part_sizes, document_terms, document_identifiers, lexical_queries,
-        query_normal, bm25_search, bm25_phrases, vector_search, embedding_neighbours, graph_search, graph_nodes, graph_edges, graph_aliases, graph_neighbours, graph_parameters,
+        query_normal, bm25_search, bm25_whole_texts, bm25_phrases, vector_search, embedding_neighbours, graph_search, graph_nodes, graph_edges, graph_aliases, graph_neighbours, graph_parameters,
         graph_expansion, question_sets, fused_search, found_lines, fused_equal, routed_weights, reranked_search, evaluation_matrix, evaluation_gains, evaluation_discrimination, evaluation_accepted,
         evaluation_rows, weight_search, weight_grid, rerank_comparison, event_percentiles, event_windows, label_sets, image_routing, index_tables,
     )

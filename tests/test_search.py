@@ -29,6 +29,30 @@ def test_bm25_equals_sqlite(spark):
     assert all(s < 0 for s in got.values())
 
 
+def test_whole_texts_are_searched(spark, tmp_path):
+    from brindle.plans import registry
+
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i * 25, " ".join(rnd.choices(words, k=rnd.randint(3, 40)))) for i in range(12)]
+    items = [(1, "the first five words here then " + rows[5][1]), (2, " ".join(rnd.choices(words, k=20)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(id UNINDEXED, t, tokenize='unicode61')")
+    chunks = registry.plain_chunks(spark, str(tmp_path)).collect()
+    con.executemany("INSERT INTO f VALUES (?, ?)", [(r["chunk_id"], r["text"]) for r in chunks])
+    got = {}
+    for r in registry.bm25_whole_texts(spark, str(tmp_path)).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    asked = {**{f"b{k}": t for k, t in items}, **{f"d{k}": t for k, t in rows if k % 100 == 0}}
+    assert len(chunks) == len(rows) and got.keys() == asked.keys() and len(asked) == 5
+    for key, text in asked.items():
+        expression = " OR ".join(f'"{t}"' for t in text.split())
+        best = [s for s, in con.execute("SELECT bm25(f) FROM f WHERE f MATCH ? ORDER BY 1 LIMIT 10", (expression,))]
+        assert sorted(got[key]) == pytest.approx(best, abs=1e-8)
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id string, path string, chunk_id string, rank int, score double")
 
