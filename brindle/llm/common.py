@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Rows that one gapless-rank bucket is meant to hold.
 RANK_ROWS = 100_000
+#: Parts that the rows of one group are dealt over where each meets its group's answer.
+SALTS = 48
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,6 +88,21 @@ def unkeyed(name: str = "id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
 
+def _bit(salt: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), salt)
+
+
+def beside(df: DataFrame, keys: list[str], by: str, **found: tuple[Callable[[str], Column], str]) -> DataFrame:
+    """``df`` with an aggregate of each group as a column, given as name=(F.min or F.max, column). A group may hold most rows: its rows
+    are dealt over SALTS by a hash of ``by``, aggregated by group and salt, then by group, and each group's answer goes to the salts
+    that it has rows in, so no task needs all rows of a group."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(*keys, "_salt").agg(*[f(c).alias(f"_{n}") for n, (f, c) in found.items()])
+    whole = parts.groupBy(*keys).agg(*[f(f"_{n}").alias(n) for n, (f, _) in found.items()], F.bit_or(_bit(F.col("_salt"))).alias("_in"))
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.col("_in").bitwiseAND(_bit(k)) != 0)
+    return salted.join(whole.select(*keys, *found, F.explode(salts).alias("_salt")), [*keys, "_salt"]).drop("_salt")
+
+
 def gapless(df: DataFrame, group: list[str], order: list[str], rows: int, out: str = "rank") -> DataFrame:
     """Adds ``out``: 0, 1, ... without gaps inside each ``group``. A group may hold most rows, so each is
     split into hash buckets of about RANK_ROWS rows; a bucket's start is the sum of the bucket counts before it.

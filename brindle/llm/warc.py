@@ -1,18 +1,19 @@
 """WARC archives through a chunked record table.
 
 A payload crosses every step as rows (record, chunk number, bytes): the JVM cuts it, the writer appends the rows to its
-archive as they come, and the reader yields the same rows from the archive, each with the SHA-256 of the payload up to
-it. So memory is bounded by the chunk size and the batch, not by the record.
+archive as they come, with a running SHA-256 that must end in the record's digest, and the reader yields the same rows from the
+archive, each with the SHA-256 of the payload up to it. So memory is bounded by the chunk size and the batch, not by the record.
 
 Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest id is written as response and
-the others as revisit records that name its digest and id; only digests are shuffled to find them.
+the others as revisit records that name its digest and id. Only ids and digests are joined to find them: each revisit becomes a row
+of its own that is sorted before the chunks of its record, (id, digest) being a record's key.
 
-Archives are gzipped record by record, as is usual, and lie in the folder that the session names in spark.checkpoint.dir and are opened through pyarrow's file systems
-(local, HDFS, object stores). A task writes under a temporary name and renames at its end, so a task that is run
+Archives are gzipped record by record, as is usual, lie in the folder that the session names in spark.checkpoint.dir, and are opened
+through pyarrow's file systems (local, HDFS, object stores). A task writes under a temporary name and renames at its end, so a task that is run
 again replaces its own archive with an equal one.
 
 Defined cases: null payload is empty; equal payloads under 100 bytes are all responses; rows that repeat an id are
-all written, the chunks of each in order, as responses if the id is the smallest of its payload; a null id comes before all others; an empty table writes no archive; other columns are not read.
+all written, each judged by its own payload, as responses if the id is the smallest of that payload; a null id comes before all others; an empty table writes no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import NO_ID, shared_dir, table, unkeyed
+from brindle.llm.common import NO_ID, beside, shared_dir, table, unkeyed
 
 CHUNK = 1 << 18
 MIN_REVISIT = 100
@@ -42,24 +43,26 @@ CHUNK_TABLE = "id long, record_type string, refers_to long, chunk int, data bina
 
 
 def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """row, id, url, length, digest, refers_to (null for a response) and the payload."""
+    """id, url, length, digest and the payload (data) of each row."""
     data = F.coalesce(pages[payload].cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(
+    return pages.select(
         F.coalesce(pages[key].cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"),
         F.octet_length(data).cast("long").alias("length"), F.sha2(data, 256).alias("digest"), data.alias("data"),
     )
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """(id, digest, refers_to) of the records that repeat the payload of a smaller id. No payload takes part; the records of one
+    digest are dealt over salts."""
     seen = rows.where(F.col("length") >= MIN_REVISIT).select("digest", "id")
-    first = seen.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = seen.join(first, "digest").where("id <> first").select("id", F.col("first").alias("refers_to")).distinct()
-    return rows.join(later, "id", "left")
+    return beside(seen, ["digest"], "id", first=(F.min, "id")).where("id <> first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row a chunk of payload; a revisit or empty record has one row without bytes."""
-    payload = F.when(F.col("refers_to").isNull(), F.col("data")).otherwise(F.lit(b""))
-    n = F.greatest(F.ceil(F.octet_length(payload) / chunk), F.lit(1)).cast("int")
-    cut = rows.select(F.monotonically_increasing_id().alias("row"), "id", "url", "length", "digest", "refers_to", payload.alias("data"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
-    return cut.withColumn("data", F.substring("data", F.col("chunk") * chunk + 1, F.lit(chunk)))
+    """One row a chunk of payload; an empty record has one row without bytes. ``row`` parts equal records."""
+    n = F.greatest(F.ceil(F.octet_length("data") / chunk), F.lit(1)).cast("int")
+    cut = rows.select("id", "digest", F.monotonically_increasing_id().alias("row"), "url", "length", "data", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"))
+    return cut.withColumn("data", F.substring("data", F.col("chunk") * chunk + 1, F.lit(chunk))).withColumn("refers_to", F.lit(None).cast("long"))
 
 
 def _uri(path: str) -> str:
@@ -78,25 +81,43 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, chunk: in
         fs.create_dir(root, recursive=True)
         name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.gz"
         draft, out, member, n = f"{name}.{uuid.uuid4().hex}.tmp", None, None, 0
+        refers, of = None, None  # what the next records of one id and digest refer to
+        running, declared = None, None
+
+        def close() -> None:
+            if running is not None and running.hexdigest() != declared:
+                raise ValueError("a record's chunks don't give its digest")
+            if member:
+                out.write(member.compress(b"\r\n\r\n") + member.flush())
+
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("id", "url", "length", "digest", "refers_to", "chunk")]
-            for key, url, length, digest, refers, k, data in zip(*cols, batch.column("data")):
+            for key, url, length, digest, refers_to, k, data in zip(*cols, batch.column("data")):
+                if k < 0:  # comes before the records that it is about
+                    refers, of = refers_to, (key, digest)
+                    continue
+                known = refers if of == (key, digest) else None
                 if out is None:
                     out = fs.open_output_stream(draft, compression=None)
                 if k == 0:
-                    if member:
-                        out.write(member.compress(b"\r\n\r\n") + member.flush())
+                    close()
                     member, n = zlib.compressobj(1, zlib.DEFLATED, GZIP), n + 1
-                    out.write(member.compress(_head(key, url, length, digest, refers)))
-                out.write(member.compress(data.as_buffer()))
+                    running, declared = None if known is not None else hashlib.sha256(), digest
+                    out.write(member.compress(_head(key, url, length, digest, known)))
+                if running is not None:
+                    part = data.as_buffer()
+                    running.update(part)
+                    out.write(member.compress(part))
         if out is not None:
-            out.write(member.compress(b"\r\n\r\n") + member.flush())
+            close()
             out.close()
             fs.move(draft, name)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["archive", "records"])
 
     parts = max(1, -(-pages.count() // ROWS_PER_ARCHIVE), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = chunks(records(pages), chunk).repartition(parts, "id").sortWithinPartitions("id", "row", "chunk")
+    all_ = records(pages)
+    none = {"row": F.lit(-1).cast("long"), "url": F.lit(""), "length": F.lit(0).cast("long"), "chunk": F.lit(-1), "data": F.lit(b"")}
+    rows = chunks(all_, chunk).unionByName(revisits(all_).withColumns(none)).repartition(parts, "id", "digest").sortWithinPartitions("id", "digest", "row", "chunk")
     return table(spark, rows.mapInArrow(write, "archive string, records long"), "archives")
 
 

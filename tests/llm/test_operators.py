@@ -224,6 +224,29 @@ def test_archives_round_trip(spark, monkeypatch, tmp_path):
     assert warc.archive_round_trip(spark, pages(spark, [])).count() == 0
 
 
+def test_revisits_go_by_id_and_payload(spark, tmp_path):
+    a, b, c = "a" * 120, "b" * 130, "c" * 10
+    rows = [(2, "u", a), (5, "u", a), (5, "u", b), (5, "u", a), (6, "u", b), (6, "u", a), (None, "u", b), (8, None, c), (9, None, c), (8, "u", None)]
+    got = warc.archive_round_trip(spark, pages(spark, rows)).collect()
+    want = []
+    for key, _, html in rows:
+        same_ = [k for k, _, x in rows if x == html]
+        first = None if None in same_ else min(same_)
+        again = html is not None and len(html) >= 100 and key != first
+        want.append((key, len(html or ""), hashlib.sha256((html or "").encode()).hexdigest(), "revisit" if again else "response", first if again else None))
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    folder = f"file://{tmp_path}/w"
+    archives = warc.write_archives(spark, pages(spark, rows), folder)
+    stored = {bytes(r["data"]).decode() for r in warc.read_archives(archives, folder).where("record_type = 'response'").collect()}
+    assert stored == {a, b, c, ""}
+
+
+def test_beside_gives_each_row_its_groups_answer(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    got = common.beside(df, ["g"], "k", least=(F.min, "k"), most=(F.max, "k")).collect()
+    assert len(got) == 500 and all((r["least"], r["most"]) == (r["g"], max(range(r["g"], 500, 3))) for r in got)
+
+
 def test_archives_are_gzip_members(spark, tmp_path):
     archives = warc.write_archives(spark, pages(spark, [(1, "http://e/", "<p>x")]), f"file://{tmp_path}/w")
     raw = open(archives.first()["archive"], "rb").read()
