@@ -1,18 +1,20 @@
 """Visible text of HTML pages, laid out: a small tree builder and a renderer.
 
-Tree: start tags close what they imply closed (a block closes an open paragraph, ``li`` an item, ``td`` a cell, ...) and open
-what they imply open (a cell outside a row opens the row); end tags close up to their element and are ignored if it isn't
+Tree: tags are read as browsers read them (quotes count only as values, ``<!-->`` is a whole comment, a tag that the page ends in is none);
+start tags close what they imply closed (a block closes an open paragraph, ``li`` an item, ``td`` a cell, body content the head, ...) and
+open what they imply open (a cell outside a row opens the row); end tags close up to their element and are ignored if it isn't
 open; void elements have no content; script, style and similar elements are read to their end tag as raw text; comments,
 doctypes and stray markup go.
 
-Visibility: ``head``, scripts, styles, templates, closed dialogs, form values, elements with ``hidden``, and those with an inline
-style of ``display: none`` or ``visibility: hidden`` show nothing. Formulas are shown in their line, with ``/``, ``^`` and ``_`` between the
+Visibility: ``head``, scripts, styles, templates, closed dialogs, form values, elements with ``hidden`` (unless their style sets a display) and
+those with an inline style of ``display: none`` show nothing; ``visibility: hidden`` hides text until ``visibility: visible`` shows it again. Formulas are shown in their line, with ``/``, ``^`` and ``_`` between the
 parts of fractions and scripts; each ``text`` of a drawing is a line, its title, description and definitions are not shown. A drop-down
 shows the choice that is selected, or its first; a list box shows all of its options and their groups' labels.
 
 Layout: white space collapses except in ``pre`` and ``textarea``; blocks start a line; paragraphs, headings, lists, tables and the
-like are set off by an empty line; list items get a bullet or their number and hang at their depth; the cells of a
-table column start at one place (a cell over ``CELL`` characters doesn't push its column further), with spans left empty.
+like are set off by an empty line; list items get a bullet or their number (``start``, ``reversed``, ``type`` and ``value`` count) and hang at
+their depth; the cells of a table column start at one place, spans left empty and wide characters taking two places. Cells of all
+columns but the last wrap at ``WRAP`` places, as on a screen, so that no cell can widen the lines of all others.
 
 Nothing recurses, so any depth of nesting is rendered. Defined cases: null gives null text, empty gives empty; a null page_id
 is carried through; repeated rows get equal answers; an empty table gives an empty result; other columns are not read.
@@ -21,6 +23,7 @@ is carried through; repeated rows get equal answers; an empty table gives an emp
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from html import unescape
 
@@ -28,14 +31,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CELL = 40  # widest cell that moves the columns after it
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+WRAP = 120  # places that a cell takes at most unless it ends in its table's last column
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)?)"
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*+)(?:{_VALUE})?+")
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[(CDATA)\[|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE.replace('([^', '(?:[^')})?+)*+)(>|\Z)",
+    re.S,
+)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object audio video canvas datalist param".split())
 BLOCKS = frozenset("address article aside body center details dialog dir div dd dt fieldset figcaption footer form header hgroup html legend li main menu nav section summary tr caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
@@ -66,6 +74,25 @@ IMPLIED_OPEN = {"td": ("tr", frozenset(("tr",))), "th": ("tr", frozenset(("tr",)
 P_LIMITS = frozenset(("table", "td", "th", "caption", "body", "html", "button", "object"))
 
 
+#: What may stand in a head; anything else begins the body.
+HEADED = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+
+
+def _declared(style: str) -> dict[str, str]:
+    """The declarations of an inline style; of several for one property the last counts, an important one before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", style).lower().split(";"):
+        name, _, value = part.partition(":")
+        plain = value.replace("!important", "").strip()
+        important = "!important" in value
+        if plain and not (found.get(name.strip(), (False, ""))[0] and not important):
+            found[name.strip()] = important, plain
+    return {k: v for k, (_, v) in found.items()}
+
+
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -80,14 +107,25 @@ class Node:
                 return unescape(a or b or c)
         return None
 
+    def style(self) -> dict[str, str]:
+        style = self.get("style") if self.attributes else None
+        return _declared(style) if style else {}
+
     def seen(self) -> bool:
+        """Whether it takes part in the layout at all."""
         if self.tag in UNSEEN:
             return False
         if self.tag == "dialog" and self.get("open") is None:
             return False
-        if not self.attributes or self.get("hidden") is not None:
-            return not self.attributes
-        return not ((style := self.get("style")) and _HIDDEN_STYLE.search(style))
+        if not self.attributes:
+            return True
+        display = self.style().get("display")
+        return display != "none" if display else self.get("hidden") is None
+
+    def shows(self, shown: bool) -> bool:
+        """Whether its own text is visible, ``shown`` being its parent's."""
+        value = self.style().get("visibility")
+        return value == "visible" if value in ("visible", "hidden", "collapse") else shown
 
 
 def build(html: str) -> Node:
@@ -120,21 +158,30 @@ def build(html: str) -> Node:
             names[tag] = names.get(tag, 0) + 1
         return node
 
-    at, lower = 0, None
+    at = 0
     paragraph = frozenset(("p",))
     while True:
         m = _TOKEN.search(html, at)
         text = html[at : m.start() if m else len(html)]
         if text:
+            if names.get("head") and stack[-1].tag == "head" and not text.isspace():
+                close(len(stack) - 1)
             stack[-1].children.append(unescape(text) if "&" in text else text)
         if not m:
             return root
         at = m.end()
         tag = m[3]
         if not tag:
-            if m[1]:
-                stack[-1].children.append(m[1])
+            if m[1]:  # data in drawings and formulas, a comment elsewhere
+                mark = "]]>" if names.get("svg") or names.get("math") else ">"
+                stop = html.find(mark, at)
+                stop = len(html) if stop < 0 else stop
+                if mark == "]]>":
+                    stack[-1].children.append(html[at:stop])
+                at = min(len(html), stop + len(mark))
             continue
+        if not m[5]:  # the page ends inside of it
+            return root
         tag = tag.lower()
         if m[2]:
             if tag == "p" and not names.get("p"):
@@ -148,6 +195,8 @@ def build(html: str) -> Node:
                 if stack[k].tag == tag:
                     close(k)
             continue
+        if names.get("head") and tag not in HEADED:
+            end_up_to(frozenset(("head",)), frozenset(("template", "noscript")))
         foreign = names.get("svg") or names.get("math")
         if foreign and tag in BREAKS_OUT:
             end_up_to(_FOREIGN, _WITHIN)
@@ -163,10 +212,8 @@ def build(html: str) -> Node:
         if (foreign or tag in _FOREIGN) and tag not in VOID and _SELF_CLOSED.search(node.attributes):
             close(len(stack) - 1)
         elif tag in RAW:
-            if lower is None:
-                lower = html.lower() if len(html.lower()) == len(html) else html
-            stop = lower.find(f"</{tag}", at)
-            stop = len(html) if stop < 0 else stop
+            end = _RAW_END[tag].search(html, at)
+            stop = end.start() if end else len(html)
             body = html[at:stop]
             node.children.append(unescape(body) if tag in ("textarea", "title") else body)
             close(len(stack) - 1)
@@ -226,9 +273,57 @@ class Flow:
         return self.lines
 
 
+def places(text: str) -> int:
+    """Places that a text takes in a line: two for wide characters, none for combining marks."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def wrapped(lines: list[str]) -> list[str]:
+    """The lines cut to WRAP places, at spaces where there are any."""
+    out = []
+    for line in lines:
+        while places(line) > WRAP:
+            at, taken = 0, 0
+            while at < len(line) and (taken := taken + places(line[at])) <= WRAP:
+                at += 1
+            space = line.rfind(" ", 0, at + 1)
+            space = space if line[: max(space, 0)].strip(" ") else 0
+            out.append(line[: space or at].rstrip(" "))
+            line = line[space:].lstrip(" ") if space else line[at:]
+        out.append(line)
+    return out
+
+
+def numbered(n: int, kind: str) -> str:
+    """An item's number in the style of a list's ``type``."""
+    if kind.lower() == "a" and n > 0:
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+        return out if kind == "a" else out.upper()
+    if kind.lower() == "i" and 0 < n < 4000:
+        out = ""
+        for value, mark in _ROMAN:
+            out, n = out + mark * (n // value), n % value
+        return out if kind == "i" else out.upper()
+    return str(n)
+
+
+_ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
+_NUMBER = re.compile(r"\s*([+-]?\d{1,9})")
+
+
+def _whole(node: Node, name: str) -> int | None:
+    value = _NUMBER.match(node.get(name) or "")
+    return int(value[1]) if value else None
+
+
 def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
     """Lines of a table of (cell lines, columns, rows) with each column at one place."""
-    grid: list[dict[int, list[str]]] = []
+    grid: list[dict[int, tuple[list[str], int]]] = []
     taken: dict[int, int] = {}  # column -> rows it is still covered by a cell from above
     for row in rows:
         placed, col = {}, 0
@@ -237,27 +332,41 @@ def lay_out(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
         for lines, wide, high in row:
             while col in blocked:
                 col += 1
-            placed[col] = lines
+            placed[col] = lines, col + wide
             if high > 1:
                 for c in range(col, col + wide):
                     taken[c] = high - 1
             col += wide
         grid.append(placed)
+    end = max([stop for placed in grid for _, stop in placed.values()], default=0)
+    grid = [{c: (wrapped(lines) if stop < end else lines, stop) for c, (lines, stop) in placed.items()} for placed in grid]
     width: dict[int, int] = {}
+    spanning = []
     for placed in grid:
-        for c, lines in placed.items():
-            width[c] = max([width.get(c, 0), *(len(x) for x in lines if len(x) <= CELL)])
+        for c, (lines, stop) in placed.items():
+            width.setdefault(c, 0)
+            if stop < end:
+                need = max(map(places, lines), default=0)
+                if stop == c + 1:
+                    width[c] = max(width[c], need)
+                else:
+                    spanning.append((c, stop, need))
     columns = sorted(width)
+    for c, stop, need in spanning:  # what doesn't fit over its columns widens the last of them
+        own = [k for k in columns if c <= k < stop]
+        width[own[-1]] += max(0, need - sum(width[k] for k in own) - 2 * (len(own) - 1))
     out = []
     for placed in grid:
-        for k in range(max((len(x) for x in placed.values()), default=0)):
-            line, place = "", 0
+        for k in range(max((len(lines) for lines, _ in placed.values()), default=0)):
+            line, place, at = [], 0, 0  # at: places that the line has taken
             for c in columns:
-                text = placed[c][k] if c in placed and k < len(placed[c]) else ""
+                text = placed[c][0][k] if c in placed and k < len(placed[c][0]) else ""
                 if text:
-                    line = line + " " * max(place - len(line), 2 if line else 0) + text
+                    gap = max(place - at, 2 if line else 0)
+                    line += [" " * gap, text]
+                    at += gap + places(text)
                 place += width[c] + 2 if width[c] or c in placed else 0
-            out.append(line)
+            out.append("".join(line))
     return out
 
 
@@ -311,29 +420,36 @@ def _operand(node: Node | str) -> list[Node | str]:
 def render(root: Node) -> str:
     """The visible text of a tree."""
     flow, pre, drawn, formulas = Flow(), 0, 0, 0
-    lists: list[list] = []  # [ordered, next number]
+    lists: list[list] = []  # [ordered, next number, step, type]
     tables: list[list] = []  # [rows, flow around]
-    todo: list[tuple[Node | str, bool]] = [(root, True)]
+    todo: list[tuple[Node | str, bool, bool]] = [(root, True, True)]
     while todo:
-        node, enter = todo.pop()
+        node, enter, shown = todo.pop()
         if isinstance(node, str):
-            flow.kept(node) if pre else flow.text(node)
+            if shown:
+                flow.kept(node) if pre else flow.text(node)
             continue
         tag = node.tag
         if enter:
             if tag == "br":
-                if flow.line:
+                if not shown:
+                    pass
+                elif flow.line:
                     flow.end_line()
                 elif flow.lines:
                     flow.gap = 2
                 continue
             if not node.seen() or tag == "input" or (drawn or formulas) and tag in UNDRAWN:
                 continue
-            if drawn and (node.get("display") == "none" or node.get("visibility") in ("hidden", "collapse")):
+            if drawn and node.get("display") == "none":
                 continue
+            if node.attributes:
+                if drawn and (value := node.get("visibility")) in ("hidden", "collapse", "visible"):
+                    shown = value == "visible"
+                shown = node.shows(shown)
             if tag == "select":
-                box, shown = choices(node)
-                for line in shown:
+                box, lines = choices(node) if shown else (False, [])
+                for line in lines:
                     if box:
                         flow.want(1)
                     flow.text(line if box else f" {line} ")
@@ -363,14 +479,20 @@ def render(root: Node) -> str:
             elif tag in BLOCKS:
                 flow.want(1)
             if tag in ("ul", "ol", "menu", "dir"):
-                start = node.get("start")
-                lists.append([tag == "ol", int(start) if start and re.fullmatch(r"-?\d{1,9}", start) else 1])
+                back = tag == "ol" and node.get("reversed") is not None
+                start = _whole(node, "start")
+                if start is None:
+                    start = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1
+                lists.append([tag == "ol", start, -1 if back else 1, (node.get("type") or "").strip()])
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0]:
-                    mark, lists[-1][1] = f"{lists[-1][1]}. ", lists[-1][1] + 1
+                    own = lists[-1]
+                    value = _whole(node, "value")
+                    own[1] = own[1] if value is None else value
+                    mark, own[1] = f"{numbered(own[1], own[3])}. ", own[1] + own[2]
                 flow.indent += len(mark)
-                flow.mark = mark
+                flow.mark = mark if shown else ""
                 lists.append([False, len(mark)])
             elif tag in ("dd", "blockquote"):
                 flow.indent += 2
@@ -382,8 +504,8 @@ def render(root: Node) -> str:
                 if tag in BETWEEN:
                     marks = BETWEEN[tag]
                     children = [x for k, c in enumerate(children) for x in ([marks[k - 1]] if 0 < k <= len(marks) else []) + _operand(c)]
-            todo.append((node, False))
-            todo.extend((c, True) for c in reversed(children))
+            todo.append((node, False, shown))
+            todo.extend((c, True, shown) for c in reversed(children))
             continue
         if drawn and tag == "text" or formulas and tag == "mtr" or tag in ("option", "optgroup"):
             flow.want(1)

@@ -575,6 +575,81 @@ def test_formulas_drawings_and_choices_are_shown(html, text):
     assert htmltext.visible_text(html) == text
 
 
+READ = [
+    ("<p class=it's>Hello world</p><p>second</p>", "Hello world\n\nsecond"), ("<p don't>a</p>b", "a\n\nb"), ("<!-->text", "text"), ("<!--->text", "text"), ("<!-- a --!>b", "b"),
+    ("<a href='x>y' title=\"a>b\">link</a>", "link"), ("<p a=>x", "x"), ("a</ foo>b</>c", "abc"), ("x<a b='y", "x"), ("<![CDATA[x>y", "y"), ("<svg><text><![CDATA[a<b]]></text></svg>", "a<b"),
+    ("<script>a</scripts>b</script >c", "c"), ("<head><title>t</title><p>Hello", "Hello"), ("<html><head>x<body>y", "x\ny"),
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"), ("<p style='display:none;display:block'>a", "a"), ("<p style='display:none !important;display:block'>a", ""),
+    ("<div hidden style='display:block'>s</div>", "s"), ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"), ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"), ("<ol type=i start=4><li>a</ol>", "iv. a"), ("<ol type=A start=27><li>a</ol>", "AA. a"),
+    ("<table><tr><td>\u4e2d\u6587<td>b<tr><td>a<td>c</table>", "\u4e2d\u6587  b\na     c"), ("<table><tr><td>" + "x" * 130 + "<tr><td>a<td>b</table>", "x" * 120 + "\n" + "x" * 10 + "\na" + " " * 121 + "b"),
+    ("<table><tr><td>a<td>" + "x" * 300 + "</table>", "a  " + "x" * 300), ("<table><tr><td colspan=2>longer<td>z<tr><td>a<td>b<td>c</table>", "longer  z\na  b    c"),
+    ("<table><tr><td>" + "word " * 40 + "<td>r</table>", ("word " * 24).strip() + "  r\n" + ("word " * 16).strip()),
+]
+
+
+@pytest.mark.parametrize("html, text", READ)
+def test_tags_styles_and_lists_as_browsers_have_them(html, text):
+    assert htmltext.visible_text(html) == text
+
+
+def page(rnd, seen):
+    """A random page with most optional end tags left out; its visible words go to ``seen`` in order."""
+    fresh = itertools.count()
+
+    def words(shown):
+        own = [f"w{next(fresh)}x{rnd.choice(['', '\u4e2d', '\u00e9'])}" for _ in range(rnd.randint(1, 6))]
+        seen.extend(own if shown else [])
+        return rnd.choice([" ", "\n ", "&#32;"]).join(own)
+
+    def part(depth, shown):
+        kind = rnd.choice(["p", "div", "ul", "table", "hide", "note", "b", "show"]) if depth < 4 else "p"
+        attribute = rnd.choice(["", " class=it's", " title='a>b'", " a=\"<p>\"", " don't", " x=y/"])
+        inner = lambda s=shown: "".join(part(depth + 1, s) for _ in range(rnd.randint(1, 2)))
+        if kind == "p":
+            return f"<p{attribute}>{words(shown)}" + rnd.choice(["", "</p>"])
+        if kind == "div":
+            return f"<DIV{attribute}>{inner()}</div>"
+        if kind == "b":
+            return f"<p><b{attribute}>{words(shown)}</b> "
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li{attribute}>{words(shown)}" for _ in range(rnd.randint(1, 4))) + "</ul>"
+        if kind == "table":
+            rows = rnd.randint(1, 3), rnd.randint(1, 3)
+            return "<table>" + "".join("<tr>" + "".join(f"<td{attribute}>{words(shown)}" for _ in range(rows[1])) for _ in range(rows[0])) + "</table>"
+        if kind == "hide":
+            return rnd.choice([f"<div hidden>{inner(False)}</div>", f"<div style='display:none'>{inner(False)}</div>"])
+        if kind == "show":
+            return f"<div style='visibility:hidden'>{words(False)}<div style='visibility:visible'>{inner()}</div>{words(False)}</div>"
+        return "<!--" + words(False) + "-->" + "<!-->" + "<script>'<p>'</script>"
+
+    return "<!doctype html><html><head><title>t</title><style>p {}</style>" + "".join(part(0, True) for _ in range(rnd.randint(1, 5)))
+
+
+def test_generated_pages_show_all_visible_words_and_no_others():
+    for seed in range(400):
+        rnd, seen = random.Random(seed), []
+        text = htmltext.visible_text(page(rnd, seen))
+        assert [w for w in text.split() if w != "-"] == seen or sorted(w for w in text.split() if w != "-") == sorted(seen), seed
+
+
+def test_generated_tables_keep_their_columns():
+    """Against a grid that is laid out here by plain rules."""
+    for seed in range(200):
+        rnd = random.Random(seed)
+        grid = [["".join(rnd.choices("ab\u4e2d\u00e9", k=rnd.randint(1, 12))) for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(1, 5))]
+        wide = lambda t: sum(2 if c == "\u4e2d" else 1 for c in t)
+        width = [max([wide(r[c]) for r in grid if len(r) > c], default=0) for c in range(4)]
+        want = []
+        for r in grid:
+            line, at = "", 0
+            for c, cell in enumerate(r):
+                place = sum(width[:c]) + 2 * c
+                line, at = line + " " * (place - at) + cell, place + wide(cell)
+            want.append(line)
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in grid) + "</table>"
+        assert htmltext.visible_text(html).split("\n") == want, seed
+
+
 def test_html_never_recurses_or_fails():
     assert htmltext.visible_text("<div>" * 30_000 + "deep") == "deep" and htmltext.visible_text(None) is None
     rnd = random.Random(1)
