@@ -8,12 +8,15 @@ Vocabulary: all words are counted over all documents and none is capped. The ``K
 are dealt by hash over ``HASHED`` buckets, and the network predicts the bucket. Ids are dealt by rank over ``CLASSES`` classes, so that
 all classes hold about as many occurrences. A word's probability within its bucket is its share of the bucket's occurrences, with
 ``UNSEEN`` of an occurrence for words that weren't counted, so each word has a conditional probability of its own. The counts are a table
-of any size: the words of the documents are joined with it and their log shares summed by document. As a neighbour, a word stands for its bucket.
+of any size: the counts of the ``FREQUENT`` most frequent words are sent to the tasks (1 MB), all other words of the documents are joined
+with the table and their log shares summed by document. As a neighbour, a word stands for its bucket.
 
 Training (numpy, float32): documents are dealt by hash over ``ROUNDS`` rounds. In each, every partition runs Adagrad over its words
 from the round's common start, and the results are averaged by words seen, block by block in two levels, so that no task holds
 more than a ``LOTS``th of all copies of a block (20 KB each) and the driver holds one model of fixed size. All words of all documents
-are counted, trained on and scored, and what is gathered grows with the corpus.
+are counted, trained on and scored, and what is gathered grows with the corpus. As each partition trains on its own documents in their
+order, the network depends on how the table is split into partitions, but not on the order in which tasks end: averages are
+taken in the order of the partitions. The same files and settings give the same scores.
 
 Defined cases: null and empty texts have no words, a sum of 0 and a null mean; places beyond a text's ends hold a padding id; a
 null doc_id is carried through; repeated rows get equal scores and count in training as often as they stand there; an empty
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.bytehash import SPACED, Rolling, word_bounds
@@ -41,6 +44,7 @@ ROUNDS, STEP, RATE = 3, 4096, 0.2
 BUFFER = 1 << 20
 BLOCKS, LOTS = 16, 256
 UNSEEN = 0.5
+FREQUENT = 1 << 16
 
 
 def hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,6 +192,7 @@ def count_words(docs: DataFrame) -> np.ndarray:
 
 
 def _average(parts: pd.DataFrame) -> tuple[np.ndarray, int]:
+    parts = parts.sort_values(parts.columns[1])
     words = parts["words"].to_numpy()
     total = np.zeros(len(parts["values"].iloc[0]) // 4)
     for values, n in zip(parts["values"], words):
@@ -221,12 +226,12 @@ def train(docs: DataFrame, ranked: np.ndarray, rounds: int = ROUNDS) -> WindowNe
 
         def merge(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
             values, words = _average(parts)
-            return pd.DataFrame({"block": [key[0]], "words": [words], "values": [values.tobytes()]})
+            return pd.DataFrame({"block": [key[0]], "lot": [key[-1]], "words": [words], "values": [values.tobytes()]})
 
         own = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
         parts = own.mapInPandas(tidy(fit), "block int, part int, words long, values binary")
-        some = parts.groupBy("block", F.pmod("part", F.lit(LOTS)).alias("lot")).applyInPandas(merge, "block int, words long, values binary")
-        done = some.groupBy("block").applyInPandas(merge, "block int, words long, values binary").orderBy("block").collect()  # BLOCKS rows
+        some = parts.groupBy("block", F.pmod("part", F.lit(LOTS)).alias("lot")).applyInPandas(merge, "block int, lot int, words long, values binary")
+        done = some.groupBy("block").applyInPandas(merge, "block int, lot int, words long, values binary").orderBy("block").collect()  # BLOCKS rows
         if len(done) == BLOCKS:
             network = WindowNetwork(np.concatenate([np.frombuffer(r["values"], np.float32) for r in done]))
     return network
@@ -237,53 +242,72 @@ def _bucket(word: str = "word") -> Column:
     return F.pmod(F.shiftrightunsigned(word, 20), F.lit(HASHED)).cast("int")
 
 
-def word_shares(docs: DataFrame, ranked: np.ndarray, counts: DataFrame) -> DataFrame:
-    """(key, share): the sum of the log shares that a document's words have in their buckets, for each ``key`` of ``docs(key, text)``
-    with such words, over all rows of the key. Words of ``ranked`` have no bucket, so no word in the join is a frequent one."""
-
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(ranked)
-        for part, h, counts in _words(batches):
-            at = np.flatnonzero(vocabulary.ids(h) > KNOWN)
-            word, doc = h[at].view(np.int64), np.repeat(np.arange(len(counts)), counts)[at]
-            order = np.lexsort((word, doc))
-            word, doc = word[order], doc[order]
-            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])[: len(word)])
-            times = np.diff(np.append(first, len(word))).astype(np.int32)
-            yield pd.DataFrame({"key": part["key"].to_numpy()[doc[first]], "word": word[first], "times": times})
-
-    others = counts.where(~F.col("word").isin(ranked.tolist())) if len(ranked) else counts
-    sizes = [0] * HASHED
-    for r in others.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect():  # HASHED rows
-        sizes[r["bucket"]] = r["n"]
-    whole = F.element_at(F.array(*[F.lit(math.log(n + UNSEEN)) for n in sizes]), _bucket() + 1)
-    pairs = docs.mapInPandas(tidy(rare), "key long, word long, times int")
-    each = pairs.join(others.hint("shuffle_hash"), "word", "left")
-    log_share = F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN))) - whole
-    return each.groupBy("key").agg(F.sum(F.col("times") * log_share).alias("share"))
+class Shares:
+    """The log shares of words in their buckets: of the FREQUENT most frequent words by a table, and what is needed for the others."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray):
+        """``words`` ascending, with their counts; ``sizes``: occurrences of each bucket."""
+        self.words, self.counts, self.whole = words, counts, np.log(sizes + UNSEEN)
+
+    @classmethod
+    def of(cls, counts: DataFrame, ranked: np.ndarray) -> Shares:
+        others = counts.where(~F.col("word").isin(ranked.tolist())) if len(ranked) else counts
+        sizes = np.zeros(HASHED)
+        for r in others.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect():  # HASHED rows
+            sizes[r["bucket"]] = r["n"]
+        top = others.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # FREQUENT rows
+        words = top["word"].to_numpy(dtype=np.int64)
+        order = np.argsort(words)
+        return cls(words[order], top["n"].to_numpy(dtype=np.int64)[order], sizes)
+
+    def place(self, word: np.ndarray) -> np.ndarray:
+        """Where each word stands in the table; -1 for the others."""
+        if not len(self.words):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[at] == word, at, -1)
 
 
 def score_documents(docs: DataFrame, ranked: np.ndarray, network: WindowNetwork, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, log_probability (sum), mean_log_probability. ``counts`` are those of :func:`word_counts`, of ``docs`` themselves
     if none are given."""
-    flat = network.flat
+    spark, flat = docs.sparkSession, network.flat
+    counts = word_counts(docs) if counts is None else counts
+    shares = Shares.of(counts, ranked)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, own = Vocabulary(ranked), WindowNetwork(flat)
-        for part, h, counts in _words(batches):
+        from pyspark import TaskContext
+
+        vocabulary, own, row = Vocabulary(ranked), WindowNetwork(flat), TaskContext.get().partitionId() << 40
+        for part, h, n in _words(batches):
             ids = vocabulary.ids(h)
-            near = windows(ids, counts)
+            near = windows(ids, n)
             each = [own.log_probabilities(near[:, a : a + 4 * STEP], ids[a : a + 4 * STEP]) for a in range(0, len(ids), 4 * STEP)]
-            doc = np.repeat(np.arange(len(counts)), counts)
-            total = np.bincount(doc, weights=np.concatenate(each) if each else None, minlength=len(counts)).astype(float)
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, "key": part["key"].to_numpy(), "n_words": counts, "known": total})
+            doc = np.repeat(np.arange(len(n)), n)
+            total = np.bincount(doc, weights=np.concatenate(each) if each else None, minlength=len(n)).astype(float)
+            at = np.flatnonzero(ids > KNOWN)
+            word, owner = h[at].view(np.int64), doc[at]
+            total -= np.bincount(owner, weights=shares.whole[ids[at] - KNOWN - 1], minlength=len(n))
+            place = shares.place(word)
+            told = place >= 0
+            total += np.bincount(owner[told], weights=np.log(shares.counts[place[told]]), minlength=len(n))
+            word, owner = word[~told], owner[~told]
+            order = np.lexsort((word, owner))
+            word, owner = word[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (owner[1:] != owner[:-1])])[: len(word)])
+            times, word, owner = np.diff(np.append(first, len(word))).astype(np.int32), word[first], owner[first]
+            cut = np.searchsorted(owner, np.arange(len(n) + 1))
+            lists = lambda v: [v[a:b] for a, b in zip(cut, cut[1:])]
+            yield pd.DataFrame({"doc_id": part["doc_id"].array, "row": row + np.arange(len(n)), "n_words": n, "known": total, "words": lists(word), "times": lists(times)})
+            row += len(n)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    shares = word_shares(rows.select("key", "text"), ranked, word_counts(docs) if counts is None else counts)
-    scored = rows.mapInPandas(tidy(score), "doc_id long, key long, n_words long, known double").join(shares, "key", "left")
-    copies = F.count("*").over(Window.partitionBy("key"))  # repeated rows have one key
-    total = F.col("known") + F.coalesce(F.col("share") / copies, F.lit(0.0))
+    scored = table(spark, rows.mapInPandas(tidy(score), "doc_id long, row long, n_words long, known double, words array<long>, times array<int>"), "scored")
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+    log_count = F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))  # no frequent word is left, so no word of the join is in a large share of the rows
+    sums = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * log_count).alias("share"))
+    scored = scored.select("doc_id", "row", "n_words", "known").join(sums, "row", "left")
+    total = F.col("known") + F.coalesce("share", F.lit(0.0))
     mean = F.when(F.col("n_words") > 0, F.col("log_probability") / F.col("n_words"))
     return scored.select("doc_id", "n_words", total.alias("log_probability")).withColumn("mean_log_probability", mean)
 
