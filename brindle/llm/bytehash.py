@@ -4,21 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
-#: A fixed random value per byte value.
-_VALUES = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, kept for the next call."""
-    global _POWERS
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
+#: Two independent families of hashes: a base and a fixed random value per byte value for each.
+_BASES = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_VALUES = tuple(np.random.Generator(np.random.PCG64(k)).integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (7, 19))
+_POWERS = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
+
+
+def _powers(n: int, family: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse, kept for the next call."""
+    if len(_POWERS[family][0]) < n:
+        size, base = 1 << (n - 1).bit_length(), _BASES[family]
+        inverse = np.uint64(pow(int(base), -1, 2**64))
         with np.errstate(over="ignore"):
-            _POWERS = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)]), dtype=np.uint64) for b in (_BASE, _INVERSE))
-    return _POWERS[0][:n], _POWERS[1][:n]
+            _POWERS[family] = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)]), dtype=np.uint64) for b in (base, inverse))
+    return _POWERS[family][0][:n], _POWERS[family][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,10 +32,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Rolling:
     """Prefix sums of a buffer, from which the hash of any slice follows in one step."""
 
-    def __init__(self, data: np.ndarray):
-        up, self._down = _powers(len(data) + 1)
+    def __init__(self, data: np.ndarray, family: int = 0):
+        up, self._down = _powers(len(data) + 1, family)
         self._sum = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * up[:-1], out=self._sum[1:])
+        np.cumsum(_VALUES[family][data] * up[:-1], out=self._sum[1:])
 
     def slices(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self._sum[stop] - self._sum[start]) * self._down[start])

@@ -1,15 +1,17 @@
-"""Shared pieces: shared-folder tables, text columns, gapless ranks, connected components."""
+"""Shared pieces: text columns, documents as nodes, salted groups, gapless ranks, connected components."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.storage import drop, own_folder, table
+
+__all__ = ["NO_ID", "beside", "components", "drop", "fresh", "gapless", "id_of", "keyed", "node", "own_folder", "read", "release", "salted_join", "salts_in", "table", "tidy", "unkeyed"]
+
 #: Stands for a null id inside an operator, so that joins and orders see a value; turned back at the end.
 NO_ID = -(2**63)
 #: Rows that one gapless-rank bucket is meant to hold.
@@ -22,40 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    said = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not said:
-        said = tempfile.mkdtemp(prefix="brindle-")
-        spark.sparkContext.setCheckpointDir(said)
-    return said.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and returns the table read again: lineage ends here,
-    so a lost executor costs a reread and not the work before it."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._brindle_path = path
-    return out
-
-
-def drop(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes tables of :func:`table` that no later plan reads."""
-    for df in tables:
-        path = getattr(df, "_brindle_path", None)
-        if path:
-            fs, at = _fs(spark, path)
-            fs.delete(at, True)
-
-
 def release() -> None:
     """Gives memory that a task has freed back to the system; a worker that waits for its next task would keep it otherwise."""
     try:
@@ -76,6 +44,20 @@ def tidy(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]
     return run
 
 
+def node(key: Column, text: Column) -> Column:
+    """16 bytes that stand for a document, by doc_id and text: rows of one doc_id with other texts are other documents. In the order of the
+    ids, null first, and for one id in the order of a hash of the text."""
+    number = F.coalesce(key.cast("long"), F.lit(NO_ID)).bitwiseXOR(F.lit(NO_ID))
+    half = lambda x: F.unhex(F.lpad(F.hex(x), 16, "0"))
+    return F.concat(half(number), half(F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))))
+
+
+def id_of(name: str) -> Column:
+    """The doc_id of a :func:`node`, null again for null."""
+    number = F.conv(F.hex(F.substring(name, 1, 8)), 16, 10).cast("decimal(20,0)") + F.lit(NO_ID).cast("decimal(20,0)")
+    return F.when(number != NO_ID, number.cast("long"))
+
+
 def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, text)`` with null ids as NO_ID and null texts as empty; all other columns are left behind, so
     extra columns of any name do no harm."""
@@ -84,6 +66,14 @@ def keyed(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def unkeyed(name: str = "id") -> Column:
     return F.when(F.col(name) != NO_ID, F.col(name))
 
@@ -92,52 +82,58 @@ def _bit(salt: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), salt)
 
 
-def beside(df: DataFrame, keys: list[str], by: str, **found: tuple[Callable[[str], Column], str]) -> DataFrame:
-    """``df`` with an aggregate of each group as a column, given as name=(F.min or F.max, column). A group may hold most rows: its rows
-    are dealt over SALTS by a hash of ``by``, aggregated by group and salt, then by group, and each group's answer goes to the salts
-    that it has rows in, so no task needs all rows of a group."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy(*keys, "_salt").agg(*[f(c).alias(f"_{n}") for n, (f, c) in found.items()])
-    whole = parts.groupBy(*keys).agg(*[f(f"_{n}").alias(n) for n, (f, _) in found.items()], F.bit_or(_bit(F.col("_salt"))).alias("_in"))
-    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.col("_in").bitwiseAND(_bit(k)) != 0)
-    return salted.join(whole.select(*keys, *found, F.explode(salts).alias("_salt")), [*keys, "_salt"]).drop("_salt")
+def _salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def salts_in(by: str) -> Column:
+    """Aggregate: which salts a group has rows in."""
+    return F.bit_or(_bit(_salt(by)))
+
+
+def salted_join(df: DataFrame, keys: list[str], by: str, groups: DataFrame, mask: str) -> DataFrame:
+    """``df`` joined with ``groups``, which has one row a group and in ``mask`` its :func:`salts_in`: a group's rows are dealt over SALTS by a hash of
+    ``by``, and its row is copied to those salts, so no task needs all rows of a group."""
+    salts = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.col(mask).bitwiseAND(_bit(k)) != 0)
+    copies = groups.select(*[c for c in groups.columns if c != mask], F.explode(salts).alias("_salt"))
+    return df.withColumn("_salt", _salt(by)).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def beside(df: DataFrame, keys: list[str], by: str, **found: Column) -> DataFrame:
+    """``df`` with aggregates of each group as columns. They are combined in each map task first and come back by :func:`salted_join`."""
+    groups = df.groupBy(*keys).agg(*[f.alias(n) for n, f in found.items()], salts_in(by).alias("_in"))
+    return salted_join(df, keys, by, groups, "_in")
 
 
 def gapless(df: DataFrame, group: list[str], order: list[str], rows: int, out: str = "rank") -> DataFrame:
-    """Adds ``out``: 0, 1, ... without gaps inside each ``group``. A group may hold most rows, so each is
-    split into hash buckets of about RANK_ROWS rows; a bucket's start is the sum of the bucket counts before it.
-    The hash takes ``order``, so the result depends on the rows only and survives recomputation."""
+    """Adds ``out``: 0, 1, ... without gaps inside each ``group``. Equal rows are counted in each map task and take successive places. A group may
+    hold most rows, so each is split into hash buckets of about RANK_ROWS rows; a bucket's start is the sum of the bucket counts before
+    it. The hash takes ``order``, so the result depends on the rows only and survives recomputation."""
     buckets = max(1, -(-rows // RANK_ROWS) * 2)
-    parted = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    starts = parted.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    parted = df.groupBy(*df.columns).agg(F.count("*").alias("_same")).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    starts = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = parted.withColumn("_at", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order)) - 1)
-    return (
-        inside.join(starts, [*group, "_bucket"])
-        .withColumn(out, (F.col("_start") + F.col("_at")).cast("long"))
-        .drop("_bucket", "_start", "_at")
-    )
+    ahead = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parted.withColumn("_at", F.coalesce(F.sum("_same").over(ahead), F.lit(0)))
+    first = F.col("_start") + F.col("_at")
+    return inside.join(starts, [*group, "_bucket"]).select(*df.columns, F.explode(F.sequence(first, first + F.col("_same") - 1)).alias(out))
 
 
 def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     """``(id, component)`` for the ids in ``links(a, b)`` that aren't the smallest of their component; component is that id.
 
     Alternating large-star and small-star steps: each node's neighbours are hung under the smallest of them.
-    Every step is one aggregation and one equi-join on ids, written to the shared folder; nothing but
-    the number and a checksum of the links comes to the driver."""
+    Every step is an aggregation and an equi-join on ids, hubs being dealt over salts, written to the shared folder; nothing but
+    the number and a checksum of the links comes to the driver. Ids are of any type with an order."""
     edges = table(spark, links.where("a <> b").select("a", "b").distinct(), "edges")
     last = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = beside(both, ["u"], "v", m=F.min("v")).where("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-            .where("a <> b").distinct()
-        )
+        low = beside(down, ["u"], "v", m=F.min("v"))
+        small = low.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         after = table(spark, small, "edges")
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(spark, edges)

@@ -22,7 +22,7 @@ def op3_crf_line_quality(spark, sf_dir):
     from brindle.llm.lines import label_quality, train
 
     docs = read(spark, sf_dir, "documents")
-    return label_quality(docs, train(docs, read(spark, sf_dir, "labels")))
+    return label_quality(docs, *train(docs, read(spark, sf_dir, "labels")))
 
 
 def op4_warc_chunk_table(spark, sf_dir):
@@ -52,7 +52,7 @@ def op7_minmax_near_duplicates(spark, sf_dir):
 def op8_spaced_seed_decontamination(spark, sf_dir):
     from brindle.llm.decontaminate import contamination
 
-    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), every=True)
+    return contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op9_dominance_packing(spark, sf_dir):

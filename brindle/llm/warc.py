@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.common import NO_ID, beside, shared_dir, table, unkeyed
+from brindle.llm.common import NO_ID, beside, own_folder, table, unkeyed
 
 CHUNK = 1 << 18
 MIN_REVISIT = 100
@@ -55,7 +55,7 @@ def revisits(rows: DataFrame) -> DataFrame:
     """(id, digest, refers_to) of the records that repeat the payload of a smaller id. No payload takes part; the records of one
     digest are dealt over salts."""
     seen = rows.where(F.col("length") >= MIN_REVISIT).select("digest", "id")
-    return beside(seen, ["digest"], "id", first=(F.min, "id")).where("id <> first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
+    return beside(seen, ["digest"], "id", first=F.min("id")).where("id <> first").select("id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
 def chunks(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -221,7 +221,7 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, as read back from the archives written for
     ``pages``. The digest of a response is taken from its bytes, that of a revisit from its header; a response whose bytes
     don't give the digest in its header raises."""
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "warc")
     archives = write_archives(spark, pages, folder)
     last = read_archives(archives, folder, keep=False).where("last")
     sound = (F.col("record_type") == "revisit") | ((F.col("digest") == F.col("declared")) & (F.col("bytes") == F.col("length")))

@@ -59,8 +59,8 @@ def leaks(docs, items):
         d, bad = np.array([number[w] for w in words(text)]), set()
         for item, b in coded:
             n = min(13, len(b))
-            need = 11 if len(b) >= 13 else len(b)
-            if len(b) >= 5 and len(d) >= n:
+            need = n - n * 2 // 13
+            if n and len(d) >= n:
                 same = d[:, None] == b[None, :]
                 found = sum(same[t : len(d) - n + 1 + t, t : len(b) - n + 1 + t].astype(int) for t in range(n))
                 if (found >= need).any():

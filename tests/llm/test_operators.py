@@ -61,10 +61,11 @@ def test_components(spark):
 
 def test_gapless_ranks(spark, monkeypatch):
     monkeypatch.setattr(common, "RANK_ROWS", 10)
-    df = spark.range(300).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
+    df = spark.range(300).select((F.col("id") % 3).alias("g"), F.floor(F.col("id") / 30).alias("k"))  # each row ten times
     got = common.gapless(df, ["g"], ["k"], 300).collect()
     for g in range(3):
         assert sorted(r["rank"] for r in got if r["g"] == g) == list(range(100))
+    assert sorted((r["g"], r["k"]) for r in got) == sorted(map(tuple, df.collect()))
 
 
 # 1. quality classifier
@@ -128,11 +129,50 @@ def test_removed_bytes_equal_brute_force(spark, monkeypatch, hall):
     assert suffix.removed_bytes(spark, docs(spark, [])).count() == 0
 
 
+def test_runs_equal_plain_prefix_doubling(spark):
+    rnd = random.Random(6)
+    shared = "".join(rnd.choices("abc d\u00e9", k=150))
+    rows = [(i, "".join(rnd.choices("ab ", k=rnd.randint(0, 60))) + shared[rnd.randint(0, 30) : rnd.randint(120, 150)] + "x" * rnd.choice([0, 5, 130])) for i in range(25)] + [(None, shared), (3, None), (77, shared + shared)]
+    d = docs(spark, rows, extra=True)
+    groups = {}
+    for r in suffix.position_ranks(spark, d).collect():
+        groups.setdefault(r["rank"], []).append((r["id"], r["t"], r["at"]))
+    assert groups and all(len(g) > 1 for g in groups.values())
+    later = {p for g in groups.values() for p in sorted(g)[1:]}
+    spans, _ = suffix.repeated_spans(spark, d)
+    got = set()
+    for r in spans.collect():
+        got |= {(r["id"], r["t"], at) for s in r["spans"] for at in range(s["a"], s["b"] - 99)}
+    assert got == later
+
+
+def test_one_id_with_several_texts_loses_only_what_repeats(spark):
+    rnd = random.Random(7)
+    own = ["".join(rnd.choices("abcdefgh ", k=240)) for _ in range(4)]
+    rows = [(5, own[0]), (5, own[1]), (9, own[0][:120]), (5, own[2]), (None, own[3]), (None, own[3][50:] + own[2][:60]), (5, own[1])]
+    got = sorted((r["doc_id"] or -1, r["n_bytes"], r["n_removed"]) for r in suffix.removed_bytes(spark, docs(spark, rows)).collect())
+    assert [g for g in got if g[0] == 5] == [(5, 240, 0)] * 4 and [g for g in got if g[0] == 9] == [(9, 120, 120)]
+    none = [g for g in got if g[0] == -1]  # which of the two is first goes by a hash
+    assert sorted(n for _, n, _ in none) == [240, 250] and sum(x for _, _, x in none) == 190
+
+
+def test_cut_documents_keep_columns_of_any_name(spark):
+    shared = "".join(random.Random(2).choices("abcdefgh ", k=200))
+    names = ("id", "t", "spans", "_id", "_t", "_spans", "_spans_", "_ID_", "a.b", "off")
+    rows = [(1, shared), (2, "x" + shared), (2, "y"), (3, None), (4, "z" * 40_000)]
+    df = docs(spark, rows).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    out = suffix.cut_documents(spark, df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        assert [r[n] for n in names] == [f"{n}{r['doc_id']}" for n in names]
+    assert sorted((r["doc_id"], r["text"] and r["text"][:100]) for r in out.collect() if r["text"]) == [(1, shared[:100]), (2, "x"), (2, "y"), (4, "z")]
+
+
 def test_runs_join_over_segments(monkeypatch):
     import pyarrow as pa
 
     text = " ".join(random.Random(1).choices(brute.WORDS, k=2000))
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["id", "text"]).append_column("t", pa.array([9]))
     whole = [b.to_pydict() for b in suffix._scan(iter([batch]))]
     monkeypatch.setattr(suffix, "SEGMENT", 500)
     parts = [b.to_pydict() for b in suffix._scan(iter([batch]))]
@@ -180,7 +220,7 @@ def test_crf_learns_and_decides(spark):
     rows = [(i, clean() if i % 2 else junk()) for i in range(200)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id long, quality int, toxic int")
     d = docs(spark, rows + ODD[:4], extra=True).where("doc_id is not null")
-    got = table_of(lines.label_quality(d, lines.train(d, labels)))
+    got = table_of(lines.label_quality(d, *lines.train(d, labels)))
     assert all(got[i]["kept"] == bool(i % 2) for i in range(100, 200))
     assert lines.label_quality(docs(spark, ODD, extra=True), lines.ChainCrf()).count() == len(ODD)
     assert lines.label_quality(docs(spark, []), lines.ChainCrf()).count() == 0
@@ -243,7 +283,7 @@ def test_revisits_go_by_id_and_payload(spark, tmp_path):
 
 def test_beside_gives_each_row_its_groups_answer(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"))
-    got = common.beside(df, ["g"], "k", least=(F.min, "k"), most=(F.max, "k")).collect()
+    got = common.beside(df, ["g"], "k", least=F.min("k"), most=F.max("k")).collect()
     assert len(got) == 500 and all((r["least"], r["most"]) == (r["g"], max(range(r["g"], 500, 3))) for r in got)
 
 
@@ -336,21 +376,38 @@ def test_scores_tell_language_from_shuffles(spark):
     assert lmscore.pseudo_likelihood(docs(spark, [])).count() == 0
 
 
-def test_every_word_has_a_probability_of_its_own(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "KNOWN", 2)
-    rows = [(i, "the of " + "common " * 8) for i in range(5)] + [(5, "the of rare"), (5, "the of rare"), (None, "the of rare rare typo"), (7, None)]
+def plain_score(net, text, known, n):
+    """The sum of log-probabilities of a text, word by word. ``known``: hash -> id, ``n``: hash -> count."""
+    hashed = [int(h) for w in (text or "").split() for h in lmscore.hashes([w])[0]]
+    bucket = lambda h: 1 + lmscore.KNOWN + (h >> 20) % lmscore.HASHED
+    ids, total = [known.get(h, bucket(h)) for h in hashed], 0.0
+    for i, (h, x) in enumerate(zip(hashed, ids)):
+        near = [ids[i + j] if 0 <= i + j < len(ids) else 0 for j in lmscore.SIDES]
+        hidden = np.tanh(sum(net.near[j][y].astype(float) for j, y in enumerate(near)))
+        c, slot = x % lmscore.CLASSES, x // lmscore.CLASSES
+        for logits, k in ((net.top @ hidden + net.top_bias, c), (net.low[c] @ hidden + net.low_bias[c], slot)):
+            total += logits[k] - np.log(np.exp(logits).sum())
+        if h not in known:
+            whole = sum(v for g, v in n.items() if g not in known and bucket(g) == x)
+            total += np.log(n.get(h, lmscore.UNSEEN)) - np.log(whole + lmscore.UNSEEN)
+    return total
+
+
+@pytest.mark.parametrize("frequent", [1 << 16, 3])
+def test_scores_equal_plain_python(spark, monkeypatch, frequent):
+    monkeypatch.setattr(lmscore, "FREQUENT", frequent)
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choices(brute.WORDS[:120], k=rnd.randint(1, 40)))) for i in range(80)] + [(900, None), (901, ""), (3, "again w1 w1"), (3, "again w1 w1"), (None, "rare rare typo")]
     d = docs(spark, rows, extra=True)
-    counts = lmscore.word_counts(d)
-    n = {"common": 40, "rare": 4, "typo": 1}
-    h = dict(zip(["the", "of", *n], lmscore.hashes(["the of " + " ".join(n)])[0].view(np.int64).tolist()))
-    assert {r["word"]: r["n"] for r in counts.collect()} == {h["the"]: 8, h["of"]: 8, **{h[w]: k for w, k in n.items()}}
-    monkeypatch.setattr(lmscore, "_bucket", lambda word="word": F.lit(3))  # one bucket for all
-    ranked = np.array([h["the"], h["of"]])
-    asked = docs(spark, rows + [(9, "the rare"), (10, "the qwzx")]).withColumn("key", F.coalesce("doc_id", F.lit(-1)).cast("long")).select("key", "text")
-    got = {r["key"]: r["share"] for r in lmscore.word_shares(asked, ranked, counts).collect()}
-    share = {w: np.log(k / 45.5) for w, k in {**n, "qwzx": 0.5}.items()}
-    want = {**{i: 8 * share["common"] for i in range(5)}, 5: 2 * share["rare"], -1: 2 * share["rare"] + share["typo"], 9: share["rare"], 10: share["qwzx"]}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    ranked = lmscore.count_words(d)[:40]
+    net = lmscore.train(d, ranked)
+    n = {r["word"] & (2**64 - 1): r["n"] for r in lmscore.word_counts(d).collect()}
+    known = {int(h) & (2**64 - 1): k + 1 for k, h in enumerate(ranked)}
+    asked = rows + [(5000, "w1 neverseen w2 neverseen"), (5001, "w300x")]
+    got = lmscore.score_documents(docs(spark, asked), ranked, net, lmscore.word_counts(d)).collect()
+    want = sorted((str(k), round(plain_score(net, t, known, n), 2)) for k, t in asked)
+    assert [k for k, _ in want] == [k for k, _ in sorted((str(r["doc_id"]), r["log_probability"]) for r in got)]
+    assert np.allclose([v for _, v in want], [v for _, v in sorted((str(r["doc_id"]), r["log_probability"]) for r in got)], atol=0.05)
 
 
 def test_words_of_one_bucket_are_told_apart(spark):
@@ -369,9 +426,10 @@ def test_words_of_one_bucket_are_told_apart(spark):
 # 7. near duplicates
 
 
-@pytest.mark.parametrize("k, block", [(2, 2048), (5, 8)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block):
+@pytest.mark.parametrize("k, block, shingles", [(2, 2048, 2_000_000), (5, 8, 2_000_000), (2, 2048, 500)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block, shingles):
     monkeypatch.setattr(minmax, "BLOCK", block)
+    monkeypatch.setattr(minmax, "BLOCK_SHINGLES", shingles)
     monkeypatch.setattr(minmax, "SALTS", 3)
     rows = brute.near_copies()
     got = table_of(minmax.near_duplicates(spark, docs(spark, rows, extra=True), k))
@@ -379,6 +437,16 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, k, block):
     assert all(r["kept"] == (key == r["component_id"]) for key, r in got.items())
 
 
+def test_one_id_with_several_texts_is_several_documents(spark):
+    long = brute.near_copies()[3][1]
+    rows = [(5, "alpha beta gamma delta"), (5, "one two three four five six"), (5, "one two three four five six"), (9, "ONE two three four five six"), (None, long), (None, "alpha beta gamma delta"), (7, long)]
+    got = [tuple(r) for r in minmax.near_duplicates(spark, docs(spark, rows), k=2).collect()]
+    by = {(r[0], r[1]): (r[2], r[3]) for r in got}
+    assert by[5, 5] == (5, True) and by[9, 5] == (5, False) and by[5, 3] == (None, False) and by[None, 3] == (None, True)
+    kept = minmax.keep_first(spark, docs(spark, rows), k=2).collect()
+    assert sorted(str(r["text"]) for r in kept) == sorted(["one two three four five six"] * 2 + [long, "alpha beta gamma delta"])
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minmax.near_duplicates(spark, docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
@@ -438,9 +506,9 @@ def test_items_of_every_length_are_searched(spark):
     put("答えは水の沸点は何度ですか。", 50), put("問：水の融点は何度ですか", 50), put("水の温度は何度ですか"), put("在中国。", 51), put("中 和 国")
     put("dice: qué color tiene hoy", 52), put("qué flor tiene hoy"), put("？！"), put(None), put("")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = table_of(decontaminate.contamination(spark, docs(spark, rows, extra=True), bench, every=True))
+    got = table_of(decontaminate.contamination(spark, docs(spark, rows, extra=True), bench))
     assert {k: r["item_ids"] for k, r in got.items()} == want
-    kept = decontaminate.clean_documents(spark, docs(spark, rows, extra=True), bench, every=True)
+    kept = decontaminate.clean_documents(spark, docs(spark, rows, extra=True), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, v in want.items() if not v)
 
 
@@ -680,6 +748,40 @@ def test_query_covers_its_table(spark, small, name):
     assert df.select(key).distinct().count() == spark.read.parquet(f"{small}/{source}.parquet").count()
 
 
+def test_sharding_query_equals_plain_python(spark, small):
+    """Each shard by the law of highest random weight, from Spark's hashes alone; sizes, checksums and slots recomputed."""
+    df = spark.read.parquet(f"{small}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    hashed = {r["doc_id"]: r["h"] for r in df.select("doc_id", F.array(*[F.xxhash64(F.lit(f"shard:{j}"), F.col("doc_id").cast("string")) for j in range(9)]).alias("h")).collect()}
+    score = {k: [-1 / np.log(((x & (2**64 - 1)) >> 11) / 2**53 + 0.5 / 2**53) for x in h] for k, h in hashed.items()}
+    got = table_of(queries.QUERIES["op5_rendezvous_sharding"](spark, small))
+    assert got.keys() == rows.keys()
+    for k, r in got.items():
+        raw = rows[k].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(raw) + 1, zlib.crc32(raw), "key")
+        assert (r["shard"], r["grown_shard"]) == (int(np.argmax(score[k][:8])), int(np.argmax(score[k])))
+    for s in range(8):
+        assert sorted(r["slot"] for r in got.values() if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got.values())))
+
+
+def test_packing_query_equals_the_tokenizer(spark, small):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer())
+    got, bins, pieces = queries.QUERIES["op9_dominance_packing"](spark, small).collect(), {}, {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        pieces.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for own in bins.values():
+        assert [o for o, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
+    total = 0
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        ids = np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        total += len(ids)
+        assert sorted(pieces[r["doc_id"]]) == [(k, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
+    assert len(bins) <= 1.02 * -(-total // 4096) + 1
+
+
 def test_queries_equal_brute_force(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     got = {k: tuple(r)[1:] for k, r in table_of(queries.QUERIES["op2_suffix_dedup"](spark, small)).items()}

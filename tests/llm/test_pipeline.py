@@ -1,3 +1,4 @@
+import random
 import shutil
 import subprocess
 import sys
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from brindle import storage
 from brindle.llm import minmax, ordinal
 from tests.llm import brute
 
@@ -79,14 +81,41 @@ def test_run_equals_the_stages(spark, small, steps):
 
 
 def test_stages_take_odd_documents(spark, small):
-    odd = spark.createDataFrame([(1, None, None), (2, "", "x"), (None, "words without an id", None), (3, "twice the same", "s"), (3, "twice the same", "s")], "doc_id long, text string, source string")
-    odd = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), F.lit(1).alias("_bad"), F.lit(2).alias("_late"))
+    rnd = random.Random(3)
+    long = " ".join(rnd.choices(brute.WORDS, k=40_000))
+    rows = [(1, None, None), (2, "", "x"), (None, "words without an id", None), (3, "twice the same", "s"), (3, "twice the same", "s"), (3, "another text of this id", "s"), (4, long, "l"), (5, long, "l"), (6, long[:900], "t"), (7, long[:900] + " more", "t")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    odd = odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source", F.length("text").cast("long").alias("n_chars"), *[F.lit(k).alias(n) for k, n in enumerate(("_bad", "_late", "_id", "_spans", "_t", "id", "component", "spans", "kept", "a.b"))])
     for frame in (odd, odd.where("false")):
         for name, stage in P.STAGES:
             out = stage(spark, frame, small)
-            if name != "packing":
-                assert out.columns == frame.columns
-            assert out.count() <= frame.count()
+            if name == "packing":
+                assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in frame.select("doc_id").distinct().collect()}
+                continue
+            assert out.columns == frame.columns and out.count() <= frame.count()
+            assert out.select(*[c for c in out.columns[5:] if "." not in c]).distinct().count() <= 1
+            ids = sorted(str(r["doc_id"]) for r in out.collect())
+            if frame is not odd:
+                assert not ids
+            elif name == "near_duplicates":  # of equal texts the smallest id, all rows of a repeated one
+                assert ids == sorted(["1", "2", "None", "3", "3", "3", "4", "6"])
+            elif name in ("repeated_strings", "decontamination"):
+                assert len(ids) == len(rows)
+                if name == "repeated_strings":
+                    left = {r["doc_id"]: r["text"] for r in out.collect()}
+                    assert left[4] == long and left[5] == "" and left[6] == "" and left[7] in (" more", "more")
+
+
+def test_what_stages_wrote_is_removed(spark, small):
+    from pathlib import Path as At
+
+    folder = At(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    with storage.temporary(spark):
+        before = set(folder.iterdir())
+        P.run(spark, small).count()
+        left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+        assert left <= {"pieces", "decontamination"}
+    assert set(folder.iterdir()) == before
 
 
 def test_keep_first_keeps_one_of_each_group(spark):
