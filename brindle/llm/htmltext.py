@@ -29,7 +29,6 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 WRAP = 120  # places that a cell takes at most unless it ends in its table's last column
 _VALUE = r"\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+)?)"
