@@ -11,6 +11,7 @@ from brindle.functions import text as T
 SINGLES = ("vector", "fulltext", "graph")
 #: The questions' wording by category, and the verdicts.
 QUESTIONS = {"A": ("", " 是什么？"), "B": ("我想了解 ", " 相关的内容"), "C": ("", " 出现在哪些地方？"), "D": ("", " 下都讲了什么？")}
+CUTS = 64
 WORSE, BETTER, SAME = "回退", "提升", "持平"
 
 
@@ -60,6 +61,14 @@ def render(of: DataFrame) -> DataFrame:
     return wide.select("category", "row", F.concat(F.lit("| "), F.concat_ws(" | ", "category", "row", F.transform("m", lambda s: s["v"])), F.lit(" |")).alias("line"))
 
 
+def pivot(of: DataFrame) -> str:
+    """The matrix as one Markdown table, a column a metric, three decimals; missing values are dashes."""
+    metrics = sorted(r["metric"] for r in of.select("metric").distinct().collect())  # a few names
+    wide = of.groupBy("category", "row").pivot("metric", metrics).agg(F.format_number(F.first("value"), 3)).orderBy("category", "row")
+    rows = ["| " + " | ".join([r["category"], r["row"], *(r[m] or "-" for m in metrics)]) + " |" for r in wide.collect()]  # a row a category and list
+    return "\n".join(["| " + " | ".join(["category", "row", *metrics]) + " |", "|" + "---|" * (2 + len(metrics)), *rows])
+
+
 def discrimination(of: DataFrame, metric: str = "recall@5") -> DataFrame:
     """(category, spread, warns): categories in which the single paths hardly differ. Less than two paths: no row."""
     singles = of.where((F.col("metric") == metric) & F.col("row").isin(*SINGLES))
@@ -123,12 +132,41 @@ def rank_grid(scored: DataFrame, least: float = 0.0) -> DataFrame:
     return rows.orderBy(F.desc("recall"), "fulltext", "graph", "vector")
 
 
+def best_combination(scored: DataFrame, least: float = 0.05) -> DataFrame:
+    """The one best combination that uses all paths with a weight of ``least`` or more; the best of all where none does."""
+    all_paths = (F.col("fulltext") >= least) & (F.col("graph") >= least) & (F.col("vector") >= least)
+    return scored.orderBy(F.when(all_paths, 0).otherwise(1), F.desc("recall"), "fulltext", "graph", "vector").limit(1)
+
+
 def percentile(rows: DataFrame, group: list[str], value: str, percents: list[float]) -> DataFrame:
-    """Nearest-rank percentiles whose place is rounded half to even."""
-    at = Window.partitionBy(*group).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*group, value, (F.row_number().over(at) - 1).alias("_at"), F.count("*").over(Window.partitionBy(*group)).alias("_n"))
-    place = lambda p: F.bround(F.lit(p / 100.0) * (F.col("_n") - 1), 0).cast("long")
-    return ranked.groupBy(*group).agg(*[F.max(F.when(F.col("_at") == place(p), F.col(value))).alias(f"p{p:g}") for p in percents], F.count("*").alias("n"))
+    """Nearest-rank percentiles whose place is rounded half to even.
+
+    A group may hold most rows, so it isn't sorted as a whole: equal values are counted, CUTS approximate quantiles part each group
+    into ranges, the counts of the ranges tell which of them hold the places that are asked for, and only those ranges are sorted."""
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}).alias("_g")
+    kept = rows.where(F.col(value).isNotNull()).select(key, *group, F.col(value).alias("_v"))
+    counted = kept.groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    cuts = kept.groupBy("_g").agg(F.percentile_approx("_v", [k / CUTS for k in range(1, CUTS)], F.lit(100 * CUTS)).alias("_cuts"), F.count("*").alias("n"), *[F.first(g).alias(g) for g in group])
+    ranged = counted.join(cuts.select("_g", "_cuts"), "_g").select("_g", "_v", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("_v"))).alias("_range"))
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_g", "_range").agg(F.sum("_c").alias("_m")).withColumn("_first", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+    place = lambda p: F.bround(F.lit(p / 100.0) * (F.col("n") - 1), 0).cast("long")
+    places = cuts.select("_g", F.explode(F.array(*[F.struct(F.lit(f"p{p:g}").alias("name"), place(p).alias("at")) for p in percents])).alias("p")).select("_g", "p.name", "p.at")
+    asked = sums.join(places, "_g").where((F.col("at") >= F.col("_first")) & (F.col("at") < F.col("_first") + F.col("_m")))
+    held = asked.select("_g", "_range", "_first").distinct()
+    upto = F.sum("_c").over(Window.partitionBy("_g", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = ranged.join(held, ["_g", "_range"]).select("_g", "_range", "_v", (F.col("_first") + upto).alias("_hi"), (F.col("_first") + upto - F.col("_c")).alias("_lo"))
+    found = asked.select("_g", "_range", "name", "at").join(inside, ["_g", "_range"]).where((F.col("at") >= F.col("_lo")) & (F.col("at") < F.col("_hi")))
+    picked = found.groupBy("_g").agg(*[F.max(F.when(F.col("name") == f"p{p:g}", F.col("_v"))).alias(f"p{p:g}") for p in percents])
+    return cuts.drop("_cuts").join(picked, "_g").select(*group, *[f"p{p:g}" for p in percents], "n")
+
+
+def load_summary(requests: DataFrame, group: list[str], wall: str = "wall_s") -> DataFrame:
+    """(group, n, errors, p50, p95, p99, qps) of ``requests`` (group, latency, ok): percentiles of those that went well; qps is all requests
+    over the run's wall time."""
+    sizes = requests.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), (F.count("*") / F.max(wall)).alias("qps"))
+    well = percentile(requests.where("ok"), group, "latency", [50, 95, 99]).drop("n")
+    return sizes.join(well, group, "left")
 
 
 def rerank_comparison(base: DataFrame, reranked: DataFrame) -> DataFrame:
@@ -182,7 +220,7 @@ def generate_questions(chunks: DataFrame, graph, aliases: DataFrame, neighbour:
     under = headed.select("chunk_id", F.explode(F.transform(F.sequence(F.lit(1), size), lambda i: F.slice("heading_path", F.lit(1), i))).alias("prefix"))
     d = above.join(under, "prefix").groupBy("prefix").agg(F.array_sort(F.collect_set("chunk_id")).alias("answers"))
     d = d.select(F.lit("D").alias("category"), ask("D", F.try_element_at("prefix", F.lit(-1))), "answers")
-    return a.unionByName(b).unionByName(c).unionByName(d)
+    return a.unionByName(b).unionByName(c).unionByName(d).orderBy("category", "question")
 
 
 def qaset_contract(dev: DataFrame, test: DataFrame, least: int = 15, unanswerable: int = 3) -> DataFrame:

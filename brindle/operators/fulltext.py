@@ -33,13 +33,20 @@ def query_phrases(queries: DataFrame, segment=None) -> DataFrame:
 
 
 def matches(asked: DataFrame, index: DataFrame) -> DataFrame:
-    """(query_id, phrase, chunk_id, n_terms, f): how often each phrase stands in a chunk. One term needs only its posting; of
-    several, the positions shifted to the phrase's start must meet."""
-    hit = asked.join(index, "term")
-    one = hit.where("size = 1").select("query_id", "phrase", "chunk_id", "n_terms", F.size("positions").cast("long").alias("f"))
-    many = hit.where("size > 1").select("query_id", "phrase", "size", "chunk_id", "n_terms", F.explode(F.transform("positions", lambda p: p - F.col("pos"))).alias("start"))
-    met = many.groupBy("query_id", "phrase", "size", "chunk_id", "n_terms", "start").agg(F.count("*").alias("n")).where("n = size")
-    return one.unionByName(met.groupBy("query_id", "phrase", "chunk_id", "n_terms").agg(F.count("*").alias("f")))
+    """(query_id, phrase, chunk_id, n_terms, f): how often each phrase stands in a chunk. One term needs only its posting. A phrase of several begins
+    with its rarest term, whose places give the starts that are possible; the other terms are looked up in those chunks only."""
+    one = asked.where("size = 1").join(index, "term").select("query_id", "phrase", "chunk_id", "n_terms", F.size("positions").cast("long").alias("f"))
+    long = asked.where("size > 1")
+    held = index.join(long.select("term").distinct(), "term", "left_semi")
+    counts = held.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = long.join(counts, "term", "left").groupBy("query_id", "phrase", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "term")).alias("r"))
+    lead = rarest.where("r.n > 0").select("query_id", "phrase", "size", F.col("r.pos").alias("at"), F.col("r.term").alias("term"))
+    starts = lead.join(held, "term").select("query_id", "phrase", "size", "chunk_id", "n_terms", F.explode(F.transform("positions", lambda p: p - F.col("at"))).alias("start")).where("start >= 0")
+    near = held.join(starts.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    sought = starts.join(long.select("query_id", "phrase", "pos", "term"), ["query_id", "phrase"])
+    met = sought.join(near.select("term", "chunk_id", "positions"), ["term", "chunk_id"]).where(F.array_contains("positions", F.col("start") + F.col("pos")))
+    whole = met.groupBy("query_id", "phrase", "size", "chunk_id", "n_terms", "start").agg(F.count("*").alias("n")).where("n = size")
+    return one.unionByName(whole.groupBy("query_id", "phrase", "chunk_id", "n_terms").agg(F.count("*").alias("f")))
 
 
 def _weigh(rows: DataFrame, size: DataFrame) -> DataFrame:

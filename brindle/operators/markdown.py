@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from brindle.operators import tables
 from brindle.schema import ELEMENT
 
+#: The grammar of headings, images and references to images.
 _HEADING = re.compile(r"(#{1,6})\s+(.*)")
-_IMAGE = re.compile(r"!\[(?P<alt>[^\]]*)\]\((?P<ref>[^)]*)\)")
+_IMAGE = re.compile(r"!\[(?P<alt>[^\]]*)\]\((?P<ref>[^)]+)\)")  # without an address it is text
 _LATER_IMAGE = re.compile(r"!\[[^\]]*\]\[[^\]]*\]")
 
 

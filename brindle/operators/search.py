@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from brindle import config
 from brindle.functions import text as T
 from brindle.operators import fulltext, fusion, graph, vectors
+from brindle.storage import table
 
 HITS = "query_id {}, path string, chunk_id string, rank int, score double"
 
@@ -53,32 +56,61 @@ def path_hits(index: Index, queries: DataFrame, k: int, embedder: Callable, segm
     }
 
 
+Tracer = Callable[[str], AbstractContextManager]
+
+
+@contextmanager
+def span(spark: SparkSession, name: str, tracer: Tracer | None = None) -> Iterator[None]:
+    """Names the jobs of a step in Spark's own records, and opens the span of a ``tracer`` if one is given."""
+    sc = spark.sparkContext
+    before = sc.getLocalProperty("spark.job.description")
+    sc.setJobDescription(name)
+    try:
+        with tracer(name) if tracer else nullcontext():
+            yield
+    finally:
+        sc.setLocalProperty("spark.job.description", before)
+
+
 def run(spark: SparkSession, index: Index, queries: DataFrame, k: int = 10, paths: list[str] | None = None, weights: DataFrame | dict | str | None = "routed",
-        embedder: Callable = vectors.character_bag, on_error: str = "degrade", extra: dict[str, Callable[[], DataFrame]] | None = None, segment=None, settle: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> Result:
+        embedder: Callable = vectors.character_bag, on_error: str = "degrade", extra: dict[str, Callable[[], DataFrame]] | None = None, segment=None, tracer: Tracer | None = None) -> Result:
     """Hits of every enabled path and their fusion. ``weights``: "routed", a table, a dict, or None for equal ones; ``extra`` adds or
-    replaces paths. With ``on_error="degrade"`` a path that fails while it is planned counts as empty and is named in ``degraded``;
-    as plans are lazy, :func:`guarded` also runs each path apart and catches what only fails then. Routing and fusion both read
-    the hits, k rows a query and path at most: ``settle`` may store them, so that the paths run once."""
+    replaces paths. The paths run side by side, each in jobs and a span of its own, and its hits (k rows a query at most) are
+    stored, so routing and fusion read them once. With ``on_error="degrade"`` a path that fails, while it is planned or while it
+    runs, counts as empty and is named in ``degraded``."""
     if not 1 <= k <= 100:
         raise ValueError("k must be between 1 and 100")
     makers = {p: m for p, m in path_hits(index, queries, k, embedder, segment).items() if p in enabled(paths)} | (extra or {})
     kind = queries.schema["query_id"].dataType.simpleString()
     hits, degraded = spark.createDataFrame([], HITS.format(kind)), {}
-    for path, make in sorted(makers.items()):
+
+    def one(path: str) -> DataFrame | Exception:
         try:
-            hits = hits.unionByName(make().withColumn("path", F.lit(path)))
+            with span(spark, f"path {path}", tracer):
+                return table(spark, makers[path]().select("query_id", "chunk_id", "rank", "score"), f"hits_{path}")
         except Exception as e:  # one path must not take the others down
-            if on_error == "raise":
-                raise
-            degraded[path] = f"{type(e).__name__}: {e}"
-    hits = settle(hits)
-    table = fusion.route(queries, hits) if isinstance(weights, str) else weights
-    return Result(hits, fusion.fuse(hits, table), degraded)
+            return e
 
-
-def guarded(make: Callable[[], DataFrame], store: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame]:
-    """A path that is run and stored (``store`` writes it and reads it again) when it is planned, so that its failure shows there."""
-    return lambda: store(make())
+    with ThreadPoolExecutor(max(1, len(makers))) as pool:
+        found = dict(zip(sorted(makers), pool.map(one, sorted(makers))))
+    for path, got in found.items():
+        if isinstance(got, Exception):
+            if on_error == "raise":
+                raise got
+            degraded[path] = f"{type(got).__name__}: {got}"
+        else:
+            hits = hits.unionByName(got.withColumn("path", F.lit(path)))
+    routed = fusion.route(queries, hits) if isinstance(weights, str) else weights
+    return Result(hits, fusion.fuse(hits, routed), degraded)
+
+
+def endpoint(spark: SparkSession, index: Index, query: str, k: int = 10, paths: list[str] | None = None, **more) -> tuple[DataFrame, dict[str, str]]:
+    """One query as a service would take it: a blank one and a k beyond 1 to 100 are refused, unknown paths are left out; the fused rows with
+    their chunks' metadata, and the paths that failed."""
+    if not query or not query.strip():
+        raise ValueError("the query is blank")
+    result = run(spark, index, spark.createDataFrame([("q", query)], "query_id string, query string"), k, paths, **more)
+    return respond(result, index), result.degraded
 
 
 def respond(result: Result, index: Index, limit: int | None = None) -> DataFrame:

@@ -1,7 +1,8 @@
 """Embedding of chunks by a given function, and exact cosine search.
 
 The query set of a call is small against the chunks: it is collected in blocks of a fixed size, and every block streams over all
-vectors with a partial top-k in each Arrow batch, so only k rows a query and batch are shuffled."""
+vectors with a partial top-k in each Arrow batch, so only k rows a query and batch are shuffled, ties or not.
+:func:`near_buckets` is the approximate way for large query sets: only vectors that share a bucket of random hyperplanes are compared."""
 
 from __future__ import annotations
 
@@ -18,7 +19,8 @@ from brindle import config
 from brindle.functions import text as T
 from brindle.operators.graph import top_k
 
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384  # queries sent to the tasks together
+SCORES = 4_000_000  # computed together
 DIMS = 128
 
 
@@ -56,8 +58,19 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return m / np.where(norm == 0, 1, norm)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id") -> DataFrame:
-    """(query_id, chunk_id, score) of at least the k best of each query; ``queries`` has query_id and embedding."""
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of each row; of equal scores the first columns."""
+    k = min(k, scores.shape[1])
+    edge = np.partition(scores, -k, axis=1)[:, -k][:, None]
+    over, level = scores > edge, scores == edge
+    level &= np.cumsum(level, axis=1) <= k - over.sum(axis=1, keepdims=True)
+    return np.nonzero(over | level)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", digits: int = 9) -> DataFrame:
+    """(query_id, chunk_id, score) with the k best of each query among them; ``queries`` has query_id and embedding. Scores are rounded, and of
+    equal ones each batch passes on those with the smallest keys, so a batch gives k rows a query however many vectors are equal.
+    The vectors are read once for every QUERY_BLOCK queries."""
     total = queries.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
     parts = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
@@ -67,16 +80,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chu
         asked = parts.where(F.col("block") == block).orderBy("query_id").toPandas()  # about QUERY_BLOCK rows
         if asked.empty:
             continue
-        names, q = asked["query_id"].tolist(), _matrix(asked["embedding"])
+        names, q = asked["query_id"].to_numpy(), _matrix(asked["embedding"])
 
         def run(batches: Iterator[pd.DataFrame], names=names, q=q) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if batch.empty:
                     continue
-                keys, scores = batch["key"].to_numpy(), q @ _matrix(batch["embedding"]).T
-                edge = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
-                row, col = np.nonzero(scores >= edge[:, None] - 1e-12)  # ties go on, the window settles them
-                yield pd.DataFrame({"query_id": [names[r] for r in row], "key": keys[col], "score": scores[row, col]})
+                batch = batch.sort_values("key")
+                keys, v = batch["key"].to_numpy(), _matrix(batch["embedding"]).T
+                step = max(1, SCORES // len(keys))
+                for a in range(0, len(q), step):
+                    scores = np.round(q[a : a + step] @ v, digits)
+                    row, col = best_of(scores, k)
+                    yield pd.DataFrame({"query_id": names[a + row], "key": keys[col], "score": scores[row, col]})
 
         found = vectors.select(F.col(key).alias("key"), "embedding").mapInPandas(run, f"query_id {ids}, key {kind}, score double")
         out = found if out is None else out.unionByName(found)
@@ -88,5 +104,39 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chu
 def search(queries: DataFrame, vectors: DataFrame, embedder: Callable = character_bag, k: int = 10) -> DataFrame:
     """Hits of the vector path: cosine similarity, rounded to nine places so that equal texts tie."""
     asked = embed(queries.where(~T.is_blank(F.col("query"))), "query_id", "query", embedder)
-    scored = nearest(asked, vectors, k).withColumn("score", F.round("score", 9))
-    return top_k(scored, [F.desc("score")], "vector", k)
+    return top_k(nearest(asked, vectors, k), [F.desc("score")], "vector", k)
+
+
+def near_buckets(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "chunk_id", tables: int = 48, bits: int = 6, flips: int = 2, digits: int = 9) -> DataFrame:
+    """As :func:`nearest`, approximate: a vector lies in one bucket in each of ``tables`` tables, by the signs of its products with ``bits`` random
+    directions, and a query is compared with the vectors of its own buckets and of those that differ in one of the ``flips`` signs whose
+    products are smallest. Everything is an equi-join on (table, bucket); the probability to miss a vector falls with the number of tables."""
+    dims = len(vectors.select("embedding").first()["embedding"])
+    planes = np.random.Generator(np.random.PCG64(5)).normal(size=(tables * bits, dims))
+
+    def signs(probe: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                unit = _matrix(batch["embedding"])
+                dots = (unit @ planes.T).reshape(len(batch), tables, bits)
+                own = ((dots > 0) << np.arange(bits)).sum(axis=2)
+                buckets = own * tables + np.arange(tables)
+                if probe:
+                    weakest = np.abs(dots).argsort(axis=2)[:, :, :flips]
+                    buckets = np.concatenate([buckets, *[(own ^ (1 << weakest[:, :, k])) * tables + np.arange(tables) for k in range(flips)]], axis=1)
+                yield pd.DataFrame({"key": batch["key"], "embedding": list(unit), "buckets": list(buckets)})
+
+        return run
+
+    def bucketed(rows: DataFrame, name: str, probe: bool) -> DataFrame:
+        kind = rows.schema[name].dataType.simpleString()
+        return rows.select(F.col(name).alias("key"), "embedding").mapInPandas(signs(probe), f"key {kind}, embedding array<double>, buckets array<long>")
+
+    asked, stored = bucketed(queries, "query_id", True), bucketed(vectors, key, False)
+    pairs = asked.select(F.col("key").alias("query_id"), F.explode("buckets").alias("b")).join(stored.select(F.col("key").alias("chunk_id"), F.explode("buckets").alias("b")), "b")
+    pairs = pairs.select("query_id", "chunk_id").distinct()
+    both = pairs.join(asked.select(F.col("key").alias("query_id"), F.col("embedding").alias("q")), "query_id").join(stored.select(F.col("key").alias("chunk_id"), "embedding"), "chunk_id")
+    cosine = F.aggregate(F.zip_with("q", "embedding", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    return top_k(both.select("query_id", "chunk_id", F.round(cosine, digits).alias("score")), [F.desc("score")], "vector", k).drop("path", "rank")

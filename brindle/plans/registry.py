@@ -8,7 +8,7 @@ from brindle import config, index
 from brindle.functions import text as T
 from brindle.operators import chunking, evaluation, fulltext, fusion, graph, images, markdown, search, vectors
 from brindle.plans import sql
-from brindle.plans.corpus import HIT_ROWS, benchmark_queries, handbook, plain_chunks, queries, read, settled, spread, whole_queries
+from brindle.plans.corpus import benchmark_queries, handbook, plain_chunks, queries, read, settled, spread, whole_queries
 from brindle.streaming.ingest import event_counts
 
 KS = [1, 5, 10]
@@ -31,21 +31,17 @@ def over_cap(spark, d):
 
 
 def chunk_statistics(spark, d):
-    return index_statistics(evaluation.ingest_statistics(chunking.chunk_elements(markdown.parse(handbook(spark, d)))))
-
-
-def index_statistics(stats):
-    return stats.where("measure = 'kind' and key = 'text' or key = 'broken'")
+    return evaluation.ingest_statistics(chunking.chunk_elements(markdown.parse(handbook(spark, d))))
 
 
 def markdown_sections(spark, d):
     s = markdown.section_table(handbook(spark, d))
-    return s.select("doc_id", "level", "title", F.array_join("heading_path", " > ").alias("path"))
+    return s.select("doc_id", "section", "level", "title", F.array_join("heading_path", " > ").alias("path"), "text")
 
 
 def markdown_elements(spark, d):
     e = markdown.parse(handbook(spark, d))
-    return e.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.min("order").alias("first_order"))
+    return e.select("doc_id", "order", "kind", F.array_join("heading_path", " > ").alias("path"), "text")
 
 
 def markdown_table_rows(spark, d):
@@ -101,14 +97,14 @@ def bm25_search(spark, d):
 
 
 def bm25_whole_texts(spark, d):
-    """As ``bm25_search``, by whole texts in place of their first five words."""
+    """As ``bm25_search``, also for every document whose id is divisible by 100."""
     q = whole_queries(spark, d)
     _, postings, size = _text_index(spark, d, q)
     return _score(fulltext.search(q, postings, size)).drop("path")
 
 
 def bm25_phrases(spark, d):
-    """Chunks that hold the first five words of a benchmark item in a row: one token with dots is a phrase."""
+    """Chunks that hold all words of a benchmark item in a row: one token with dots is a phrase."""
     q = settled(benchmark_queries(spark, d).withColumn("query", F.array_join(T.terms(F.col("query")), ".")))
     _, postings, _ = _text_index(spark, d, q)
     return fulltext.matches(fulltext.query_phrases(q), postings).select("query_id", "chunk_id", "f")
@@ -123,7 +119,7 @@ def embedding_neighbours(spark, d):
     """The ten nearest of all vectors for every vector whose id is divisible by 100."""
     e = read(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").cast("string").alias("query_id"), "embedding")
-    scored = _score(vectors.nearest(q, e.withColumn("vec_id", F.col("vec_id").cast("string")), 10, "vec_id"), digits=6)
+    scored = vectors.nearest(q, e.withColumn("vec_id", F.col("vec_id").cast("string")), 10, "vec_id", digits=6)
     return graph.top_k(scored, [F.desc("score")], "vector", 10).select("query_id", F.col("chunk_id").alias("vec_id"), "rank", "score")
 
 
@@ -175,16 +171,12 @@ def question_sets(spark, d):
     chunks = chunking.chunk_elements(markdown.parse(handbook(spark, d)))
     g = graph.Graph(chunks)
     q = evaluation.generate_questions(chunks, g, graph.alias_map(g.nodes), graph.neighbours(g.edges), 5)
-    return q.select("category", "question", F.size("answers").alias("n_answers"))
+    return q.select("category", "question", F.array_join(F.array_sort("answers"), ",").alias("answers"))
 
 
 # fusion and search
 
 
-def _settle_hits(hits):
-    return settled(hits, HIT_ROWS)
-
-
 def _hits(spark, d):
     q = queries(spark, d)
     chunks, postings, size = _text_index(spark, d, q)
@@ -196,7 +188,7 @@ def _hits(spark, d):
 def fused_search(spark, d):
     """All three paths, routed weights, fusion, and the documents of the chunks."""
     q, idx = _hits(spark, d)
-    rows = search.respond(search.run(spark, idx, q, settle=_settle_hits), idx)
+    rows = search.respond(search.run(spark, idx, q), idx)
     return rows.select("query_id", "chunk_id", "doc_id", "rank", F.round("rrf_score", 9).alias("rrf_score"), F.array_join("sources", ",").alias("sources"))
 
 
@@ -211,14 +203,14 @@ def found_lines(spark, d):
 
 def fused_equal(spark, d):
     q, idx = _hits(spark, d)
-    fused = search.run(spark, idx, q, paths=["fulltext", "graph"], weights=None, settle=_settle_hits).fused
+    fused = search.run(spark, idx, q, paths=["fulltext", "graph"], weights=None).fused
     return _score(fused, "rrf_score").select("query_id", "chunk_id", "rank", "rrf_score")
 
 
 def routed_weights(spark, d):
     q = queries(spark, d)
     chunks, postings, size = _text_index(spark, d, q)
-    return _score(fusion.route(q, _settle_hits(fulltext.search(q, postings, size))), "weight")
+    return _score(fusion.route(q, settled(fulltext.search(q, postings, size))), "weight")
 
 
 def reranked_search(spark, d):
@@ -237,7 +229,7 @@ def reranked_search(spark, d):
 
 
 def _questions(spark, d):
-    """Benchmark items as labelled questions: the answers are the chunks that hold their first words in a row."""
+    """Benchmark items as labelled questions: the answers are the chunks that hold all their words in a row."""
     found = bm25_phrases(spark, d).groupBy("query_id").agg(F.collect_set("chunk_id").alias("answers"))
     letter = F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("query_id").substr(2, 20).cast("int") % 4 + 1).cast("int"))
     none = F.array().cast("array<string>")
@@ -249,7 +241,7 @@ def _two_paths(spark, d):
     q = _questions(spark, d)
     chunks, postings, size = _text_index(spark, d, q)
     hits = fulltext.search(q, postings, size).unionByName(vectors.search(q, vectors.embed(chunks, "chunk_id", "text")))
-    return q, _settle_hits(hits)
+    return q, settled(hits)
 
 
 def _matrix(spark, d):
@@ -287,6 +279,47 @@ def weight_search(spark, d):
     return scored.select("vector", "fulltext", "graph", F.round("recall", 9).alias("recall"), F.round("mrr", 9).alias("mrr"))
 
 
+def best_weights(spark, d):
+    """The best combination that uses all paths."""
+    q, hits = _two_paths(spark, d)
+    scored = evaluation.score_grid(q, hits, evaluation.weight_grid(spark)).withColumns({"recall": F.round("recall", 9), "mrr": F.round("mrr", 9)})
+    return evaluation.best_combination(scored).drop("combo")
+
+
+def fusion_criterion(spark, d):
+    """Whether fusion by routed weights reaches the best single path."""
+    q, hits = _two_paths(spark, d)
+    rows = evaluation.six_rows(q, hits, {"fused_routed": fusion.fuse(hits, fusion.route(q, hits))}, KS)
+    return evaluation.criterion(rows.withColumn("recall@5", F.round(F.col("`recall@5`"), 9)), "fused_routed")
+
+
+def event_load(spark, d):
+    """Events as requests of a service: latencies and throughput by type, those of odd users having failed."""
+    e = read(spark, d, "events").where("value is not null")
+    return _score(evaluation.load_summary(e.select("event_type", F.col("value").alias("latency"), (F.col("user_id") % 2 == 0).alias("ok"), F.lit(60.0).alias("wall_s")), ["event_type"]), "qps")
+
+
+def synonym_rewrites(spark, d):
+    """Messages in which the first known word is replaced by its synonym, Chinese words put in so that some are there."""
+    words = F.array(*[F.lit(w) for w in config.SYNONYMS], F.lit("x"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.element_at(words, (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.size(words)) + 1).cast("int")), F.lit(" "), "text").alias("said"))
+    new, changed = T.synonym(F.col("said"))
+    return c.select("conv_id", "turn", F.when(changed, new).otherwise(F.col("said")).alias("said"), changed.alias("changed"))
+
+
+def paragraph_chunks(spark, d):
+    """Conversations as documents, a paragraph a turn: packed greedily into chunks under the cap."""
+    turns = read(spark, d, "conversations").where("trim(regexp_replace(text, '\\\\s+', ' ')) <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    rows = turns.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("t", lambda x: F.trim(F.regexp_replace(x["text"], r"\s+", " "))), "\n\n").alias("text"))
+    return chunking.plain_chunks(rows).select("doc_id", "part", "text")
+
+
+def table_rows_whole(spark, d):
+    """Whether every row of the table that a turn's words would make is whole: those with an odd turn lack their last pipe."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("| a | b |\n| --- | --- |\n| "), F.regexp_replace("text", r"[|\s]+", " "), F.when(F.col("turn") % 2 == 1, "").otherwise(" |")).alias("rows"))
+    return c.where("rows is not null").select("conv_id", "turn", T.rows_whole(F.col("rows")).alias("whole"))
+
+
 def weight_grid(spark, d):
     return evaluation.weight_grid(spark).drop("combo")
 
@@ -334,7 +367,7 @@ def image_routing(spark, d):
 def index_tables(spark, d):
     """Rows of each index table over the handbook."""
     chunks = chunking.chunk_elements(markdown.parse(handbook(spark, d)))
-    return index.statistics(index.index_of(chunks)).where("table not in ('vectors')")
+    return index.statistics(index.index_of(chunks))
 
 
 QUERIES = {
@@ -343,7 +376,7 @@ QUERIES = {
         chunk_documents, over_cap, chunk_statistics, markdown_sections, markdown_elements, markdown_table_rows, table_part_sizes, document_terms, document_identifiers, lexical_queries,
         query_normal, bm25_search, bm25_whole_texts, bm25_phrases, vector_search, embedding_neighbours, graph_search, graph_nodes, graph_edges, graph_aliases, graph_neighbours, graph_parameters,
         graph_expansion, question_sets, fused_search, found_lines, fused_equal, routed_weights, reranked_search, evaluation_matrix, evaluation_gains, evaluation_discrimination, evaluation_accepted,
-        evaluation_rows, weight_search, weight_grid, rerank_comparison, event_percentiles, event_windows, label_sets, image_routing, index_tables,
+        evaluation_rows, weight_search, best_weights, fusion_criterion, weight_grid, rerank_comparison, event_percentiles, event_load, event_windows, label_sets, image_routing, index_tables, synonym_rewrites, paragraph_chunks, table_rows_whole,
     )
 }
 

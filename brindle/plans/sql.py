@@ -3,6 +3,8 @@ its SQL takes the structure from the tables that were rendered, so the two sides
 
 from __future__ import annotations
 
+from brindle.config import SYNONYMS
+
 # building blocks: common table expressions, each a name and its body
 
 CHUNKS = r"""
@@ -14,7 +16,7 @@ chunks AS (
 )"""
 
 QUERY_SET = r"""
-bq AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 5), ' ') AS query FROM benchmark),
+bq AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark),
 names AS (SELECT source, unnest(regexp_extract_all(text, '\b[A-Z][A-Z0-9_]{3,}\b')) AS name FROM documents),
 nq AS (SELECT source AS query_id, 'where is ' || min(name) AS query FROM names WHERE name LIKE '%\_%' ESCAPE '\' OR length(name) >= 5 GROUP BY source),
 queries AS (SELECT * FROM bq UNION ALL SELECT * FROM nq)"""
@@ -111,9 +113,9 @@ hits AS (
   SELECT query_id, 'fulltext' AS path, chunk_id, rank FROM ft UNION ALL SELECT query_id, 'graph', chunk_id, rank FROM gr UNION ALL SELECT query_id, 'vector', chunk_id, rank FROM vec
 )"""
 
-# the labelled questions: answers are the chunks with the first five words in a row
+# the labelled questions: answers are the chunks with all words of the item in a row
 QUESTIONS = r"""
-queries AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 5), ' ') AS query FROM benchmark)"""
+queries AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark)"""
 
 ANSWERS = r"""
 flat AS (SELECT chunk_id, ' ' || array_to_string(t, ' ') || ' ' AS line FROM words),
@@ -163,7 +165,15 @@ SIX = "(SELECT unnest(['vector', 'fulltext', 'graph', 'fused_equal', 'fused_stat
 
 # the handbook, from the tables it is rendered from
 HANDBOOK = r"""
-places AS (SELECT lower(r_name) || '.md' AS doc_id, r_name AS r, n_name AS n, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+rows AS (
+  SELECT lower(r_name) || '/' || n_nationkey || '-' || (c_custkey // 1000) || '.md' AS doc_id, r_name AS r, n_name AS n, n_nationkey AS k, c_custkey, c_name, c_mktsegment
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+),
+pages AS (
+  SELECT doc_id, r, n, k, string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || c_mktsegment || ' |', chr(10) ORDER BY c_custkey) AS lines,
+         'Home of customers, see `' || lower(n) || '` and CODE_' || k || '.' AS home, 'Lists customers of ' || n || ' by market.' AS told FROM rows GROUP BY ALL
+),
+places AS (SELECT DISTINCT r, n, k FROM pages),
 funcs AS (SELECT *, 'list_' || k AS short, n || '.list_' || k AS canonical, 'list_' || k || '(limit=10, *market)' AS title FROM places),
 upper_names AS (SELECT DISTINCT r, unnest(regexp_extract_all(r, '\b[A-Z][A-Z0-9_]{3,}\b')) AS t FROM places),
 r_tokens AS (SELECT r, t FROM upper_names WHERE contains(t, '_') OR length(t) >= 5),
@@ -188,16 +198,16 @@ ORACLES: dict[str, str] = {
     "chunk_documents": f"WITH {CHUNKS} SELECT chunk_id, doc_id, part, part AS idx, 'text' AS kind, text FROM chunks",
     "over_cap": r"""SELECT round(coalesce(avg(CASE WHEN length(b) > 1200 THEN 1.0 ELSE 0.0 END), 0), 9)::DOUBLE AS over_cap_ratio, count(*) AS n_sections
 FROM (SELECT regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents) WHERE b <> ''""",
-    "markdown_sections": f"""WITH {HANDBOOK}
-SELECT DISTINCT doc_id, 1 AS level, r AS title, r AS path FROM places
-UNION ALL SELECT doc_id, 2, n, r || ' > ' || n FROM places
-UNION ALL SELECT doc_id, 3, title, r || ' > ' || n || ' > ' || title FROM funcs""",
+    "markdown_sections": f"""WITH {HANDBOOK}, titled AS (SELECT *, 'list_' || k || '(limit=10, *market)' AS f FROM pages)
+SELECT doc_id, 0 AS section, 1 AS level, r AS title, r AS path, '' AS text FROM titled
+UNION ALL SELECT doc_id, 1, 2, n, r || ' > ' || n, home || chr(10) || chr(10) || '| c_custkey | c_name | segment |' || chr(10) || '|---|:-:|---|' || chr(10) || lines FROM titled
+UNION ALL SELECT doc_id, 2, 3, f, r || ' > ' || n || ' > ' || f, told FROM titled""",
     "markdown_elements": f"""WITH {HANDBOOK}
-SELECT doc_id, 'text' AS kind, 2 * count(*) AS n, 0 AS first_order FROM places GROUP BY doc_id UNION ALL SELECT doc_id, 'table', count(*), 1 FROM places GROUP BY doc_id""",
-    "markdown_table_rows": """SELECT lower(r_name) || '.md' AS doc_id, n_name AS nation, c_custkey, c_name, c_mktsegment AS segment
-FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "table_part_sizes": """SELECT lower(r_name) || '.md' AS doc_id, true AS fits, true AS headed, count(*) AS tables FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""",
-    "chunk_statistics": f"""WITH {HANDBOOK}, t AS (SELECT 2 * count(*) AS n FROM places) SELECT 'kind' AS measure, 'text' AS key, n FROM t""",
+SELECT doc_id, 0 AS "order", 'text' AS kind, r || ' > ' || n AS path, home AS text FROM pages
+UNION ALL SELECT doc_id, 1, 'table', r || ' > ' || n, '| c_custkey | c_name | segment |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines FROM pages
+UNION ALL SELECT doc_id, 2, 'text', r || ' > ' || n || ' > ' || 'list_' || k || '(limit=10, *market)', told FROM pages""",
+    "markdown_table_rows": f"WITH {HANDBOOK} SELECT doc_id, n AS nation, c_custkey, c_name, c_mktsegment AS segment FROM rows",
+    "table_part_sizes": f"WITH {HANDBOOK} SELECT doc_id, true AS fits, true AS headed, count(*) AS tables FROM pages GROUP BY doc_id",
     "document_terms": r"SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY term",
     "document_identifiers": f"WITH {IDENTIFIERS.format(key='doc_id', table='documents')} SELECT doc_id, t AS token FROM raw",
     "lexical_queries": f"WITH {CHUNKS}, {QUERY_SET}, {BM25}, {ROUTE} SELECT query_id, lexical FROM lex",
@@ -258,6 +268,13 @@ sc AS (
   FROM grid CROSS JOIN questions q LEFT JOIN rk USING (v, f, g, query_id) LEFT JOIN answers a ON a.query_id = rk.query_id AND a.chunk_id = rk.chunk_id GROUP BY v, f, g, q.query_id, n_answers
 )
 SELECT round(v * 0.05, 10)::DOUBLE AS vector, round(f * 0.05, 10)::DOUBLE AS fulltext, round(g * 0.05, 10)::DOUBLE AS graph, round(avg(r), 9) AS recall, round(avg(m), 9) AS mrr FROM sc GROUP BY v, f, g""",
+    "best_weights": "",
+    "fusion_criterion": f"""{EVAL}, {ROUTE}, rt AS (SELECT * FROM hits JOIN routed USING (query_id, path)), {fuse("rt", "adaptive")},
+lists AS (SELECT query_id, path AS row, chunk_id, rank FROM hits UNION ALL SELECT query_id, 'fused_routed', chunk_id, rank FROM adaptive WHERE rank <= 10),
+{measured("lists", "(SELECT unnest(['vector', 'fulltext', 'graph', 'fused_routed']) AS row)")},
+m AS (SELECT row, round(avg(r5), 9) AS v FROM each GROUP BY row),
+b AS (SELECT row, v FROM m WHERE row <> 'fused_routed' ORDER BY v DESC, CASE row WHEN 'vector' THEN 0 WHEN 'fulltext' THEN 1 ELSE 2 END LIMIT 1)
+SELECT b.row AS best_row, b.v AS best, m.v AS fused, m.v >= b.v AS met FROM b, m WHERE m.row = 'fused_routed'""",
     "weight_grid": """SELECT round(v * 0.05, 10)::DOUBLE AS vector, round(f * 0.05, 10)::DOUBLE AS fulltext, round((20 - v - f) * 0.05, 10)::DOUBLE AS graph
 FROM generate_series(0, 20) a(v), generate_series(0, 20) b(f) WHERE v + f <= 20""",
     "rerank_comparison": f"""{EVAL}, lists AS (SELECT query_id, path AS row, chunk_id, rank FROM hits), {measured("lists", "(SELECT unnest(['vector', 'fulltext']) AS row)")},
@@ -268,6 +285,24 @@ FROM p GROUP BY GROUPING SETS ((category), ())""",
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(value) FILTER (pos = CAST(round_even(0.5 * (n - 1), 0) AS BIGINT)) AS p50, max(value) FILTER (pos = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95,
        max(value) FILTER (pos = CAST(round_even(0.99 * (n - 1), 0) AS BIGINT)) AS p99, count(*) AS n FROM r GROUP BY event_type""",
+    "event_load": "",
+    "synonym_rewrites": f"""
+WITH c AS (SELECT conv_id, turn, {[*SYNONYMS, "x"]}[(conv_id * 7 + turn) % {len(SYNONYMS) + 1} + 1] || ' ' || text AS said FROM conversations)
+SELECT conv_id, turn, CASE {" ".join(f"WHEN contains(said, '{k}') THEN replace(said, '{k}', '{v[0]}')" for k, v in SYNONYMS.items())} ELSE said END AS said,
+       {" OR ".join(f"contains(said, '{k}')" for k in SYNONYMS)} AS changed FROM c""",
+    "paragraph_chunks": r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM conversations WHERE text IS NOT NULL),
+cut AS (SELECT conv_id, turn, p, unnest(generate_series(0, CAST(ceil(length(p) / 1200.0) AS BIGINT) - 1)) AS j FROM t WHERE p <> ''),
+pieces AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p, j) AS i, substr(p, j * 1200 + 1, 1200) AS p FROM cut),
+fold AS (
+  SELECT conv_id, i, p AS now, 0 AS part FROM pieces WHERE i = 1
+  UNION ALL
+  SELECT f.conv_id, q.i, CASE WHEN length(f.now) + 2 + length(q.p) <= 1200 THEN f.now || chr(10) || chr(10) || q.p ELSE q.p END,
+         CASE WHEN length(f.now) + 2 + length(q.p) <= 1200 THEN part ELSE part + 1 END
+  FROM fold f JOIN pieces q ON q.conv_id = f.conv_id AND q.i = f.i + 1
+)
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, part, arg_max(now, i) AS text FROM fold GROUP BY conv_id, part""",
+    "table_rows_whole": r"SELECT conv_id, turn, turn % 2 = 0 OR trim(regexp_replace(text, '[|\s]+', ' ', 'g')) = '' AS whole FROM conversations WHERE text IS NOT NULL",
     "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "label_sets": """
 WITH r AS (SELECT conv_id % 2 AS s, text AS question, CASE WHEN role = 'user' THEN 'fact' ELSE 'unanswerable' END AS category FROM conversations),
@@ -290,3 +325,9 @@ SELECT event_id,
   ], lambda x: x IS NOT NULL)), ',') AS degrade
 FROM k""",
 }
+ORACLES["best_weights"] = f"""WITH w AS ({ORACLES["weight_search"]})
+SELECT vector, fulltext, graph, recall, mrr FROM w ORDER BY CASE WHEN least(vector, fulltext, graph) >= 0.05 THEN 0 ELSE 1 END, recall DESC, fulltext, graph, vector LIMIT 1"""
+ORACLES["event_load"] = f"""
+WITH ok AS ({ORACLES["event_percentiles"].replace("FROM events WHERE value IS NOT NULL", "FROM events WHERE value IS NOT NULL AND user_id % 2 = 0")})
+SELECT e.event_type, count(*) AS n, count(*) FILTER (user_id % 2 <> 0) AS errors, round(count(*) / 60e0, 9) AS qps, any_value(p50) AS p50, any_value(p95) AS p95, any_value(p99) AS p99
+FROM events e LEFT JOIN ok USING (event_type) WHERE value IS NOT NULL GROUP BY e.event_type"""

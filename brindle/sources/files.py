@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
@@ -51,36 +52,51 @@ def cache_name(ref: str) -> str:
 
 def fetch_images(elements: DataFrame, fetch: Callable[[str], bytes], read: Callable[[str], bytes], cache: str | None = None) -> DataFrame:
     """Adds image, image_path and fetch_code to elements with image_ref. ``fetch`` gets remote addresses, ``read`` local ones; remote
-    images go through the ``cache`` folder, written under another name and renamed, as executors may fetch one image at once."""
-
-    def one(ref: str | None) -> tuple[bytes | None, str | None, str | None]:
-        if not (ref or "").startswith(("http://", "https://")):
-            try:
-                return read(ref), ref, None
-            except Exception:  # whatever keeps a file from being read, it is missing
-                return None, None, "image_missing"
-        path = os.path.join(cache, cache_name(ref)) if cache else None
-        if path and os.path.exists(path):
-            with open(path, "rb") as f:
-                return f.read(), path, None
+    images go through the ``cache`` folder, which all executors must reach (a path or URI of any of pyarrow's file systems), written under
+    another name and renamed, as executors may fetch one image at once."""
+
+    def store():
+        if cache is None:
+            return None, None
+        from pyarrow.fs import FileSystem
+
+        fs, root = FileSystem.from_uri(cache if "://" in cache else "file://" + cache.removeprefix("file:"))
+        fs.create_dir(root, recursive=True)
+        return fs, root.rstrip("/")
+
+    def remote(ref: str, fs, root: str | None) -> tuple[bytes | None, str | None, str | None]:
+        path = f"{root}/{cache_name(ref)}" if fs else None
+        try:
+            if path:
+                with fs.open_input_stream(path) as f:
+                    return f.read(), path, None
+        except OSError:
+            pass  # not there yet
         try:
             data = fetch(ref)
         except Exception:  # any failure of the network is this code
             return None, None, "image_fetch_failed"
         try:
             if path:
-                os.makedirs(cache, exist_ok=True)
-                draft = f"{path}.{os.getpid()}"
-                with open(draft, "wb") as f:
+                draft = f"{path}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(draft) as f:
                     f.write(data)
-                os.replace(draft, path)
+                fs.move(draft, path)
         except OSError:
             path = None
         return data, path, None
 
+    def local(ref: str | None) -> tuple[bytes | None, str | None, str | None]:
+        try:
+            return read(ref), ref, None
+        except Exception:  # whatever keeps a file from being read, it is missing
+            return None, None, "image_missing"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = None
         for batch in batches:
-            got = [one(r) for r in batch["image_ref"]]
+            at = at or store()
+            got = [remote(r, *at) if (r or "").startswith(("http://", "https://")) else local(r) for r in batch["image_ref"]]
             yield batch.assign(image=[g[0] for g in got], image_path=[g[1] for g in got], fetch_code=[g[2] for g in got])
 
     kept = elements.drop("image", "image_path", "fetch_code")

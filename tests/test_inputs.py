@@ -83,10 +83,15 @@ def test_routing_table(spark):
     assert (r["text"], r["degrade"], r["image_path"]) == ("[图片] alt", ["image_missing"], None)
 
 
-def test_vision_answers():
-    assert images.parse_vision('well ```json\n{"image_type": "图表", "content": null, "data": {"a": 1}}\n```')["content"] == ""
-    assert images.parse_vision("[1]") is None and images.parse_vision("{bad}") is None
-    assert images.vision_answer("x" * 300)["content"] == "x" * 200
+def test_vision_answers(spark):
+    said = ['well ```json\n{"image_type": "图表", "content": null, "data": {"a": 1}}\n```', "[1]", "{bad}", "x" * 300, "{}", None, 'so {"content": "c"} it is']
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").select("k", images.vision_answer(F.col("t")).alias("v")).collect()
+    got = {r["k"]: tuple(r["v"])[:4] for r in rows}
+    assert got[0] == ("图表", "", '{"a":1}', "") and got[1] == ("其他", "[1]", "", "") and got[2] == ("其他", "{bad}", "", "") and got[3][1] == "x" * 200
+    assert got[4] == ("", "", "", "") and got[5] == ("其他", "", "", "") and got[6] == ("", "c", "", "")
+
+
+def test_recognized_lines():
     assert images.recognized([("a", "0.5"), (" ", 1), ("b", None), ("c", 1.0)]) == ("a\nb\nc", 0.75)
     assert images.engine({"e": lambda: fails}, "e") is fails and images.engine({}, "none") is None and images.engine({}, None) is None
 
