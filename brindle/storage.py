@@ -41,7 +41,7 @@ def temporary(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _OPEN.remove(made)
+        _OPEN[:] = [m for m in _OPEN if m is not made]
         for path in made:
             fs, at = file_system(spark, path)
             fs.delete(at, True)
@@ -66,10 +66,14 @@ def table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """A table of :func:`table` that outlives its :func:`temporary`."""
-    for made in _OPEN:
-        if getattr(df, "_brindle_path", None) in made:
-            made.remove(df._brindle_path)
+    """A table of :func:`table` that outlives its :func:`temporary`; one around that takes it over."""
+    path = getattr(df, "_brindle_path", None)
+    for k, made in enumerate(_OPEN):
+        if path in made:
+            made.remove(path)
+            if k:
+                _OPEN[k - 1].append(path)
+            break
     return df
 
 
