@@ -8,7 +8,7 @@ Vocabulary: all words are counted over all documents and none is capped. The ``K
 are dealt by hash over ``HASHED`` buckets, and the network predicts the bucket. Ids are dealt by rank over ``CLASSES`` classes, so that
 all classes hold about as many occurrences. A word's probability within its bucket is its share of the bucket's occurrences, with
 ``UNSEEN`` of an occurrence for words that weren't counted, so each word has a conditional probability of its own. The counts are a table
-of any size: the counts of the ``FREQUENT`` most frequent words are sent to the tasks (1 MB), all other words of the documents are joined
+of any size: the counts of up to ``FREQUENT`` of the most frequent words are sent to the tasks (1 MB), all other words of the documents are joined
 with the table and their log shares summed by document. As a neighbour, a word stands for its bucket.
 
 Training (numpy, float32): documents are dealt by hash over ``ROUNDS`` rounds. In each, every partition runs Adagrad over its words
@@ -180,9 +180,24 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInPandas(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _frequent(counts: DataFrame, rows: int, whole: bool) -> DataFrame:
+    """The words with the highest counts: as many as ``rows`` at most or, if ``whole``, the fewest by eighths of a doubling that hold the first ``rows``. The
+    number of words in each eighth tells where to cut, so no task and not the driver gets more than about ``rows``."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    cut, total = None, 0
+    for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("m")).orderBy(F.desc("s")).collect():  # 8 rows a doubling: some hundreds
+        total += r["m"]
+        if total > rows and not whole:
+            break
+        cut = r["s"]
+        if total >= rows:
+            break
+    return counts.where(step >= F.lit(cut)) if cut is not None else counts.where("false")
+
+
 def most_frequent(counts: DataFrame) -> np.ndarray:
     """The hashes of the KNOWN most frequent words, by rank."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows
+    top = _frequent(counts, KNOWN, True).orderBy(F.desc("n"), "word").limit(KNOWN).collect()  # KNOWN rows
     return np.array([r["word"] for r in top], dtype=np.int64)
 
 
@@ -255,7 +270,7 @@ class Shares:
         sizes = np.zeros(HASHED)
         for r in others.groupBy(_bucket().alias("bucket")).agg(F.sum("n").alias("n")).collect():  # HASHED rows
             sizes[r["bucket"]] = r["n"]
-        top = others.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # FREQUENT rows
+        top = _frequent(others, FREQUENT, False).toPandas()  # <= FREQUENT rows
         words = top["word"].to_numpy(dtype=np.int64)
         order = np.argsort(words)
         return cls(words[order], top["n"].to_numpy(dtype=np.int64)[order], sizes)
