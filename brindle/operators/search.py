@@ -23,8 +23,8 @@ class Index:
     """The tables that a search reads."""
 
     chunks: DataFrame
-    postings: DataFrame
-    size: DataFrame
+    postings: DataFrame  # or a forward index, without ``size``
+    size: DataFrame | None
     vectors: DataFrame
     nodes: DataFrame
     edges: DataFrame
