@@ -26,17 +26,25 @@ DIMS = 128
 
 @lru_cache(maxsize=100_000)
 def _bucket(char: str) -> int:
-    return int(hashlib.md5(char.encode()).hexdigest()[-2:], 16) % DIMS
+    return int(hashlib.md5(char.encode(errors="surrogatepass")).hexdigest()[-2:], 16) % DIMS
+
+
+@lru_cache(maxsize=1)
+def _buckets() -> np.ndarray:
+    """The bucket of each code point, -1 where it wasn't asked for yet."""
+    return np.full(0x110000, -1, np.int16)
 
 
 def character_bag(texts: list[str]) -> list[list[float]]:
     """A deterministic embedder that needs no model: hashed character counts, normalised; zeros for an empty text."""
-    out = []
-    for text in texts:
-        v = np.bincount([_bucket(c) for c in text], minlength=DIMS).astype(float) if text else np.zeros(DIMS)
-        norm = np.sqrt((v * v).sum())
-        out.append((v / norm if norm else v).tolist())
-    return out
+    known = _buckets()
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    for c in np.unique(codes[known[codes] < 0]):
+        known[c] = _bucket(chr(c))
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    v = np.bincount(row * DIMS + known[codes], minlength=len(texts) * DIMS).reshape(-1, DIMS).astype(float)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / np.where(norm == 0, 1, norm)).tolist()
 
 
 def embed(rows: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]] = character_bag) -> DataFrame:
@@ -45,7 +53,7 @@ def embed(rows: DataFrame, key: str, text: str, embedder: Callable[[list[str]],
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["t"].fillna("").tolist()
-            vectors = [v for a in range(0, len(texts), config.EMBED_BATCH) for v in embedder(texts[a : a + config.EMBED_BATCH])]
+            vectors = [v for a in range(0, len(texts), config.EMBED_BATCH) for v in np.asarray(embedder(texts[a : a + config.EMBED_BATCH]), dtype=float)]
             yield pd.DataFrame({"k": batch["k"], "embedding": vectors})
 
     kind = rows.schema[key].dataType.simpleString()
